@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.llm import batch_history, boilerplate, canonical, near_duplicates, packing, token_budget, tokenizer
+from quillgrid.llm import batch_history, boilerplate, canonical, near_duplicates, packing, subjects, token_budget, tokenizer
 
 CUTOFF = "2026-03-01 00:00:00"
 
@@ -90,8 +90,23 @@ def p7_slots(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_area"), table(spark, d, "subject_label"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject_id").distinct()
+
+
+def p8_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and sentences of each subject, subjects without any included."""
+    totals = _subjects(spark, d).groupBy("subject_id").agg(F.countDistinct("doc_id").alias("documents"), F.sum("sentences").alias("sentences"))
+    out = table(spark, d, "subject_area").select("subject_id", "subject").join(totals, "subject_id", "left")
+    return out.select("subject_id", "subject", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("sentences", F.lit(0)).alias("sentences"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_copies, p2_found, p3_found, p3_blocks, p3_clean, p4_found, p4_budget, p5_found, p6_ids, p6_round_trip, p7_found, p7_slots)
+    named = (p1_found, p1_copies, p2_found, p3_found, p3_blocks, p3_clean, p4_found, p4_budget, p5_found, p6_ids, p6_round_trip, p7_found, p7_slots, p8_found, p8_totals)
     return {f.__name__: f for f in named}
 
 

@@ -37,9 +37,12 @@ _BREAK = "\n"
 
 def split_terms(text: str, patterns: tuple) -> list[list[str]]:
     """The terms of each sentence of a text's prose; fenced and inline code are left out."""
-    fence, inline, sentence, term, han = patterns
+    fence, inline, sentence, latin, term, han = patterns
     out = []
-    for s in sentence.split(inline.sub(" ", fence.sub(" ", text)).lower()):
+    prose = inline.sub(" ", fence.sub(" ", text)).lower()
+    if prose.isascii():
+        return [found for s in sentence.split(prose) if (found := latin.findall(s))]
+    for s in sentence.split(prose):
         found = []
         for w in term.findall(s):
             if han.match(w):
@@ -52,12 +55,15 @@ def split_terms(text: str, patterns: tuple) -> list[list[str]]:
 
 
 def _patterns() -> tuple:
+    import re
+
     import regex
 
     return (
-        regex.compile(r"```.*?(?:```|\Z)", regex.S),
-        regex.compile(r"`[^`\n]*`"),
-        regex.compile(r"(?<=[.!?])\s+|[。！？]|\n+"),
+        re.compile(r"```.*?(?:```|\Z)", re.S),
+        re.compile(r"`[^`\n]*`"),
+        re.compile(r"(?<=[.!?])\s+|[。！？]|\n+"),
+        re.compile(r"[a-z]{3,}"),
         regex.compile(r"\p{Katakana}[\p{Katakana}ー]*|\p{Han}+|[\p{Latin}\p{M}]+"),
         regex.compile(r"\p{Han}"),
     )
@@ -139,29 +145,31 @@ def vocabulary(terms: DataFrame, least: float = LEAST_SHARE, most: float = MOST_
 
 
 def modelled_terms(terms: DataFrame, words: Vocabulary) -> DataFrame:
-    """(doc_id, lang, terms, sentence_of): the kept terms of each document and the number of the sentence of each.
+    """(doc_id, lang, terms, numbers, sentence_of): the kept terms of each document, as text and by their numbers, and
+    the sentence in which each stands.
 
     A document of unknown language takes the language whose common terms it has most of.
     """
     spark = terms.sparkSession
-    shared = spark.sparkContext.broadcast((frozenset(words.kept), words.common))  # bounded by the least share
+    shared = spark.sparkContext.broadcast((words.kept, words.common))  # bounded by the least share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, common = shared.value
+        number = {t: i for i, t in enumerate(kept)}
         for batch in batches:
             langs, bags, at = [], [], []
             for lang, bag in zip(batch.column("lang").to_pylist(), batch.column("sentences").to_pylist()):
                 if lang not in common and common:
                     own = set(bag.split())
                     lang = max(sorted(common), key=lambda k: len(own & common[k]) / max(1, len(common[k])) ** 0.5)
-                pairs = [(t, i) for i, s in enumerate(bag.split(_BREAK)) for t in s.split() if t in kept]
+                pairs = [(t, i) for i, s in enumerate(bag.split(_BREAK)) for t in s.split() if t in number]
                 langs.append(lang)
                 bags.append([t for t, _ in pairs])
                 at.append([i for _, i in pairs])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(bags, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32()))], names=["doc_id", "lang", "terms", "sentence_of"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(bags, pa.list_(pa.string())), pa.array([[number[t] for t in b] for b in bags], pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32()))], names=["doc_id", "lang", "terms", "numbers", "sentence_of"])
 
     kind = terms.schema["doc_id"].dataType.simpleString()
-    return terms.mapInArrow(run, f"doc_id {kind}, lang string, terms array<string>, sentence_of array<int>")
+    return terms.mapInArrow(run, f"doc_id {kind}, lang string, terms array<string>, numbers array<int>, sentence_of array<int>")
 
 
 def fit_topics(documents: DataFrame, words: Vocabulary, topics: int = TOPICS, iterations: int = ITERATIONS, seed: int = 11) -> dict[str, tuple[list[str], np.ndarray]]:
@@ -183,32 +191,53 @@ def fit_topics(documents: DataFrame, words: Vocabulary, topics: int = TOPICS, it
     return out
 
 
-def infer(weights: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, rounds: int = 15, prior: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Topic proportions [n, topics] of documents and the share of each of their terms that falls to each topic."""
-    phi = (weights / weights.sum(1, keepdims=True)).T[columns]
+def infer(weights: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, rounds: int = 15, prior: float = 0.1, still: float = 0.002) -> np.ndarray:
+    """The share of each term of some documents that falls to each topic, [terms, topics].
+
+    Proportions of topics and shares of terms are found in turn until the proportions change no more by ``still``.
+    """
+    phi = (weights / weights.sum(1, keepdims=True)).astype(np.float32).T[columns] + np.float32(1e-12)
     begin = np.flatnonzero(np.concatenate([np.ones(1, bool), rows[1:] != rows[:-1]]))
-    theta = np.full((n, weights.shape[0]), 1.0)
+    size = np.diff(np.append(begin, len(rows)))
+    theta = np.full((len(begin), weights.shape[0]), 1 / weights.shape[0], np.float32)
     for _ in range(rounds):
-        share = phi * theta[rows]
-        share /= share.sum(1, keepdims=True) + 1e-300
-        theta[rows[begin]] = prior + np.add.reduceat(share, begin, axis=0)
-    return theta / theta.sum(1, keepdims=True), share
-
-
-def _inferred(batch: pa.RecordBatch, models: dict, index: dict) -> Iterator[tuple]:
-    """(lang, document numbers, topic proportions, row of each term, column of each term, its shares, its sentence)."""
-    langs, bags, at = (batch.column(c).to_pylist() for c in ("lang", "terms", "sentence_of"))
-    for lang in sorted({x for x in langs if x in models}):
-        docs = [i for i, x in enumerate(langs) if x == lang and bags[i]]
-        ix = index[lang]
-        triples = [(k, ix[t], s) for k, i in enumerate(docs) for t, s in zip(bags[i], at[i]) if t in ix]
-        if triples:
-            rows, columns, sentence = np.array(triples).T
-            theta, share = infer(models[lang][1], columns, rows, len(docs))
-            yield lang, docs, theta, rows, columns, share, sentence
-
-
-def labelled_weights(documents: DataFrame, models: dict, labels: DataFrame, subjects: list[int]) -> tuple[dict, dict]:
+        share = phi * np.repeat(theta, size, axis=0)
+        share /= share.sum(1, keepdims=True)
+        after = np.add.reduceat(share, begin, axis=0) + np.float32(prior)
+        after /= after.sum(1, keepdims=True)
+        moved = np.abs(after - theta).max()
+        theta = after
+        if moved < still:
+            break
+    return share
+
+
+def _inferred(batch: pa.RecordBatch, models: dict, lookup: dict) -> Iterator[tuple]:
+    """(lang, documents of the batch, document of each term by its place in these, column of each term, its shares, its
+    sentence), language by language."""
+    langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+    numbers = batch.column("numbers")
+    values, sentence = numbers.flatten().to_numpy(), batch.column("sentence_of").flatten().to_numpy()
+    doc_of = np.repeat(np.arange(batch.num_rows), np.diff(numbers.offsets.to_numpy()))
+    for lang in models:
+        columns = np.where((langs == lang)[doc_of], lookup[lang][values], -1)
+        good = columns >= 0
+        if good.any():
+            docs, rows = np.unique(doc_of[good], return_inverse=True)
+            yield lang, docs.tolist(), rows, columns[good], infer(models[lang][1], columns[good], rows, len(docs)), sentence[good]
+
+
+def _lookups(models: dict, kept: list[str]) -> dict[str, np.ndarray]:
+    """For each language the column in its model of every kept term, -1 where it has none."""
+    number = {t: i for i, t in enumerate(kept)}
+    out = {}
+    for lang, (terms, _) in models.items():
+        out[lang] = np.full(len(kept), -1)
+        out[lang][[number[t] for t in terms]] = np.arange(len(terms))
+    return out
+
+
+def labelled_weights(documents: DataFrame, models: dict, kept: list[str], labels: DataFrame, subjects: list[int]) -> tuple[dict, dict]:
     """How subjects given by hand go with topics and with terms: for each language [topics, subjects] and
     [terms, subjects].
 
@@ -216,17 +245,16 @@ def labelled_weights(documents: DataFrame, models: dict, labels: DataFrame, subj
     subjects; repeated labels count once. What reaches the driver is bounded by topics and terms times subjects.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+    shared = spark.sparkContext.broadcast((models, _lookups(models, kept)))
     given = labels.where("doc_id is not null and subject_id is not null").select("doc_id", "subject_id").distinct().groupBy("doc_id").agg(F.collect_set("subject_id").alias("subject_ids"))
     order = {x: i for i, x in enumerate(subjects)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        index = {k: {t: i for i, t in enumerate(v[0])} for k, v in own.items()}
+        own, lookup = shared.value
         for batch in batches:
             ids = batch.column("subject_ids").to_pylist()
             out: Counter = Counter()
-            for lang, docs, _, rows, columns, share, _ in _inferred(batch, own, index):
+            for lang, docs, rows, columns, share, _ in _inferred(batch, own, lookup):
                 mass = np.zeros((len(docs), share.shape[1]))
                 np.add.at(mass, rows, share)
                 mass /= mass.sum(1, keepdims=True)
@@ -241,7 +269,7 @@ def labelled_weights(documents: DataFrame, models: dict, labels: DataFrame, subj
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keys], t) for j, t in enumerate(kinds)] + [pa.array([out[k] for k in keys], pa.float64())], names=["lang", "kind", "number", "subject", "w"])
 
-    found = documents.join(given, "doc_id").select("lang", "terms", "sentence_of", "subject_ids").mapInArrow(run, "lang string, kind string, number int, subject int, w double")
+    found = documents.join(given, "doc_id").select("lang", "numbers", "sentence_of", "subject_ids").mapInArrow(run, "lang string, kind string, number int, subject int, w double")
     topics = {k: np.zeros((v[1].shape[0], len(subjects))) for k, v in models.items()}
     terms = {k: np.zeros((v[1].shape[1], len(subjects))) for k, v in models.items()}
     for r in found.groupBy("lang", "kind", "number", "subject").agg(F.sum("w").alias("w")).collect():
@@ -272,7 +300,7 @@ def map_topics(models: dict, topics: dict, terms: dict, trust: float = TRUST) ->
     return out
 
 
-def assign_subjects(documents: DataFrame, models: dict, mapped: dict, subjects: list[int], specific: float = SPECIFIC, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
+def assign_subjects(documents: DataFrame, models: dict, kept: list[str], mapped: dict, subjects: list[int], specific: float = SPECIFIC, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
     """(doc_id, subject_id, sentences, share): subjects that terms of enough sentences of a document speak for.
 
     A term speaks for a subject when it is specific to one at all and when the topics it falls to in this document and
@@ -280,15 +308,14 @@ def assign_subjects(documents: DataFrame, models: dict, mapped: dict, subjects:
     subject has enough sentences has no row.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((models, mapped))
+    shared = spark.sparkContext.broadcast((models, _lookups(models, kept), mapped))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, words = shared.value
-        index = {k: {t: i for i, t in enumerate(v[0])} for k, v in own.items()}
+        own, lookup, words = shared.value
         for batch in batches:
             doc, subject, many, part = [], [], [], []
-            for lang, docs, _, rows, columns, share, sentence in _inferred(batch, own, index):
+            for lang, docs, rows, columns, share, sentence in _inferred(batch, own, lookup):
                 of_topic, of_term = words[lang]
                 here = (share @ of_topic + 0.02) * of_term[columns]
                 here /= here.sum(1, keepdims=True) + 1e-12
@@ -301,7 +328,7 @@ def assign_subjects(documents: DataFrame, models: dict, mapped: dict, subjects:
                         doc.append(docs[k]), subject.append(subjects[s]), many.append(int(c)), part.append(float(c / total[k]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(subject, pa.int32()), pa.array(many, pa.int32()), pa.array(part, pa.float64())], names=["doc_id", "subject_id", "sentences", "share"])
 
-    return documents.mapInArrow(run, f"doc_id {kind}, subject_id int, sentences int, share double")
+    return documents.select("doc_id", "lang", "numbers", "sentence_of").mapInArrow(run, f"doc_id {kind}, subject_id int, sentences int, share double")
 
 
 def document_subjects(df: DataFrame, areas: DataFrame, labels: DataFrame, topics: int = TOPICS) -> DataFrame:
@@ -311,5 +338,5 @@ def document_subjects(df: DataFrame, areas: DataFrame, labels: DataFrame, topics
     documents = materialize(modelled_terms(terms, words), "modelled")
     models = fit_topics(documents, words, topics)
     subjects = sorted(r["subject_id"] for r in areas.where("subject_id is not null").select("subject_id").distinct().collect())  # a fixed table
-    mapped = map_topics(models, *labelled_weights(documents, models, labels, subjects))
-    return assign_subjects(documents, models, mapped, subjects)
+    mapped = map_topics(models, *labelled_weights(documents, models, words.kept, labels, subjects))
+    return assign_subjects(documents, models, words.kept, mapped, subjects)

@@ -22,7 +22,7 @@ from quillgrid.plans.materialize import materialize
 
 #: The labels of a block of labelled fields.
 LABELS = ("TITLE", "DESCRIPTION", "SOURCE", "LANGUAGE", "CODE")
-FIELD_START = r"(?im)^(?=[\s\p{Z}]*(?:" + "|".join(LABELS) + r")[\t\p{Z}]*:)"
+FIELD_START = r"(?im)^(?=[\t\p{Zs}]*(?:" + "|".join(LABELS) + r")[\t\p{Zs}]*:)"
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 SEPARATOR = "\x01"
 

@@ -17,7 +17,8 @@ COORDINATES = 40
 #: Bits of each coordinate that travel with a posting: 21 coordinates fill one 64-bit number.
 _PER_LONG, _BITS = 21, 3
 _MASK = sum(1 << (_BITS * i) for i in range(_PER_LONG))
-_SLICE = 2048
+#: Texts, and bytes of text, that are hashed at a time; a longer text is hashed alone.
+_SLICE, _SLICE_BYTES = 2048, 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,6 +126,20 @@ def possible_agreements(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return F.expr(f"{COORDINATES} - {apart(a[0], b[0])} - {apart(a[1], b[1])}")
 
 
+def _slices(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Parts of a batch of bounded size with the bytes of the texts in some of its columns."""
+    texts = [[t.encode() for t in batch.column(c).to_pylist()] for c in columns]
+    size = [sum(map(len, row)) for row in zip(*texts)]
+    start = held = 0
+    for i, n in enumerate(size):
+        if i > start and (held + n > _SLICE_BYTES or i - start == _SLICE):
+            yield batch.slice(start, i - start), [t[start:i] for t in texts]
+            start, held = i, 0
+        held += n
+    if start < len(size):
+        yield batch.slice(start), [t[start:] for t in texts]
+
+
 def with_signatures(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     """(*keep, h1, h2, n_members, sig): hash of the text's set (128 bits), its size, its signature as bytes.
 
@@ -135,9 +150,7 @@ def with_signatures(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
-                texts = [t.encode() for t in batch.column("_words").to_pylist()]
+            for batch, (texts,) in _slices(whole, ("_words",)):
                 rows, both, n, sig = signatures(shingle_sets(texts))
                 picked = batch.take(pa.array(rows, pa.int64()))
                 width = COORDINATES * 4
@@ -162,9 +175,8 @@ def exact_likeness(pairs: DataFrame, keep: tuple[str, ...], at_least: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
-                sets = [shingle_sets([t.encode() for t in batch.column(c).to_pylist()]) for c in ("words_a", "words_b")]
+            for batch, texts in _slices(whole, ("words_a", "words_b")):
+                sets = [shingle_sets(t) for t in texts]
                 n = [np.bincount((s >> _u(52)).astype(np.int64), minlength=batch.num_rows) for s in sets]
                 merged = np.sort(np.concatenate(sets))
                 common = np.bincount((merged[1:][merged[1:] == merged[:-1]] >> _u(52)).astype(np.int64), minlength=batch.num_rows)

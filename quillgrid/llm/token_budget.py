@@ -7,6 +7,8 @@ document counted for before is subtracted, what it counts for now is added, and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillgrid.llm.tokenizer import Vocabulary, token_counts
@@ -41,32 +43,39 @@ class CountTable:
     def __init__(self, spark: SparkSession, vocabulary: Vocabulary, path: str | None = None):
         self.spark, self.vocabulary, self.path = spark, vocabulary, path or scratch_path(spark, "token-counts")
 
-    def read(self) -> DataFrame:
-        """(text_key, n_tokens) under this table's tokenizer; empty where nothing has been counted yet."""
+    def _runs(self) -> list[str]:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        table = self.spark.read.schema(COUNT_SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], COUNT_SCHEMA)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().startswith("run-")) if fs.exists(p) else []
+
+    def read(self) -> DataFrame:
+        """(text_key, n_tokens) under this table's tokenizer; empty where nothing has been counted yet.
+
+        Runs are named one by one: Spark takes two reads of one folder for the same table, whatever came between.
+        """
+        runs = self._runs()
+        table = self.spark.read.schema(COUNT_SCHEMA).parquet(*runs) if runs else self.spark.createDataFrame([], COUNT_SCHEMA)
         return table.where(F.col("tokenizer") == self.vocabulary.name).select("text_key", "n_tokens")
 
     def refresh(self, texts: DataFrame, text: str) -> None:
-        """Encode the texts that the table doesn't have and append them. Null texts are never stored.
+        """Encode the texts that the table doesn't have and append them as a run. Null texts are never stored.
 
         Texts are encoded where they are read; only keys and counts are shuffled, so a text that a third of all rows
         carry is encoded by several tasks at worst and reaches the shuffle once from each.
         """
-        known = self.read()
         rows = texts.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"), text)
-        if not known.isEmpty():
-            rows = rows.join(known, "text_key", "left_anti")
+        if self._runs():
+            rows = rows.join(self.read(), "text_key", "left_anti")
         new = token_counts(rows, self.vocabulary, text, ("text_key",)).groupBy("text_key").agg(F.max("n_tokens").alias("n_tokens"))
-        new.select("text_key", F.lit(self.vocabulary.name).alias("tokenizer"), "n_tokens").write.mode("append").parquet(self.path)
+        new.select("text_key", F.lit(self.vocabulary.name).alias("tokenizer"), "n_tokens").write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
 
     def counts_of_keys(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``n_tokens`` in place of their ``text_key``; a null key (a null text) has 0 tokens.
+        """``rows`` with ``n_tokens`` in place of their ``text_key`` and of a column of that name; a null key (a null
+        text) has 0 tokens.
 
         Raises nothing for keys that the table doesn't have: their n_tokens is null until a refresh.
         """
-        out = rows.join(self.read().groupBy("text_key").agg(F.max("n_tokens").alias("n_tokens")), "text_key", "left")
+        out = rows.drop("n_tokens").join(self.read().groupBy("text_key").agg(F.max("n_tokens").alias("n_tokens")), "text_key", "left")
         return out.withColumn("n_tokens", F.when(F.col("text_key").isNull(), F.lit(0)).otherwise(F.col("n_tokens")).cast("bigint")).drop("text_key")
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import regex
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-LABEL = re.compile(r"(?im)^(?=\s*(?:title|description|source|language|code)[ \t]*:)")
+LABEL = re.compile(r"(?im)^(?=[ \t]*(?:title|description|source|language|code)[ \t]*:)")
 
 
 def squash(x):

@@ -71,7 +71,8 @@ def field(text: Column, label: str) -> Column:
     """The value after a label at the start of a line, up to the next label; null without one."""
     others = "|".join(FIELDS)
     found = F.regexp_extract(text, rf"(?is)(?:^|\n){label}:[ \t]*(.*?)(?=\n(?:{others}):|\z)", 1)
-    return F.when(F.trim(found) != "", F.trim(found))
+    clean = F.btrim(found, F.lit(" \t\r\n"))
+    return F.when(clean != "", clean)
 
 
 def entry_fields(df: DataFrame, entry_id: str, content: str) -> DataFrame:

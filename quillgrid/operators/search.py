@@ -106,7 +106,7 @@ def _nearest(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     return df.select("id", "v").mapInPandas(run, f"id {kind}, v {values}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
 
 
-def top_k_approximate(queries: DataFrame, vectors: DataFrame, centroids: np.ndarray, k: int, probes: int = 12, spread: int = 4, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k_approximate(queries: DataFrame, vectors: DataFrame, centroids: np.ndarray, k: int, probes: int = 22, spread: int = 4, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, match_id, score, rank) from the ``probes`` cells nearest to each query.
 
     Every row is indexed, in the cell nearest to it. Queries meet rows by cell; a cell is split into ``spread`` parts,

@@ -17,7 +17,7 @@ def zero_if_null(c: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for null, empty and blank texts."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != ""))
+    return zero_if_null(F.regexp_count(text, F.lit(r"[^ \t\n\r\f]+")))
 
 
 def line_count(text: Column) -> Column:
@@ -113,13 +113,13 @@ def technical_depth(score: Column) -> Column:
 
 def readability(text: Column) -> Column:
     """0 to 1 from sentence length, structure and clarity words; 0 for null and blank texts, 0.5 without a sentence."""
-    parts = F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.regexp_replace(s, SPACE, "") != ""))
-    mean = word_count(text) / parts
+    parts = F.regexp_count(text, F.lit(r"[^.!? \t\n\r\f][^.!?]*"))  # runs between sentence marks that aren't blank
+    mean = word_count(text) / F.nullif(parts, F.lit(0))
     length = F.when((mean >= 5) & (mean <= 20), 1.0).when(mean < 5, 0.6).otherwise(F.greatest(F.lit(0.2), 1.0 - (mean - 20) / 50))
     shape = F.when(text.contains("\n\n"), 0.3).otherwise(0.0) + F.when(text.rlike(r"(^|\n)#+ "), 0.3).otherwise(0.0) + F.when(text.rlike(r"(^|\n)(\* |[0-9]+\. )"), 0.2).otherwise(0.0)
     low = F.lower(text)
     clear = F.least(F.lit(0.2), reduce(lambda a, b: a + b, [F.when(low.contains(w), 0.1).otherwise(0.0) for w in P.CLARITY]))
-    return F.when(F.coalesce(word_count(text), F.lit(0)) == 0, 0.0).when(parts == 0, 0.5).otherwise(F.least(F.lit(1.0), length * 0.5 + shape + clear))
+    return F.when(word_count(text) == 0, 0.0).when(parts == 0, 0.5).otherwise(F.least(F.lit(1.0), length * 0.5 + shape + clear))
 
 
 def completeness(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -149,10 +150,11 @@ def bm25(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str =
     one pass over the texts gives rows of a few numbers.
     """
     terms = list(dict.fromkeys(t.lower() for t in query))
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    counted = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), words.alias("w"))
-    occurrences = lambda t: F.size(F.filter("w", lambda x: x == F.lit(t)))
-    counted = counted.select("doc_id", F.size("w").alias("len"), *[occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    if not terms or not all(re.fullmatch("[a-z0-9]+", t) for t in terms):
+        raise ValueError("query terms are words of ASCII letters and digits")
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    times = lambda t: F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])"))
+    counted = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.regexp_count(low, F.lit("[a-z0-9]+")).alias("len"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
     some = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))]) if len(terms) > 1 else F.col("tf0")
     both = counted.where(some > 0).join(F.broadcast(stats))  # one row

@@ -62,29 +62,37 @@ def forest_entries(classes: DataFrame, trees: int = TREES) -> DataFrame:
 
 
 class HashForest:
-    """Sorted runs of forest entries as Parquet folders under ``path``."""
+    """Sorted runs of forest entries as Parquet folders under ``path``; opening a path finds the runs that it has."""
 
     SCHEMA = "tree int, path bigint, node bigint"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.runs = spark, path or scratch_path(spark, "forest"), 0
+        self.spark, self.path = spark, path or scratch_path(spark, "forest")
+
+    def runs(self) -> list[str]:
+        return run_folders(self.spark, self.path)
 
     def add_run(self, classes: DataFrame) -> None:
         """Persist one batch's classes as a run, sorted by tree and path inside each of its range partitions."""
         entries = forest_entries(classes).repartitionByRange("tree", "path").sortWithinPartitions("tree", "path")
-        entries.write.parquet(f"{self.path}/run={self.runs}")
-        self.runs += 1
+        entries.write.parquet(f"{self.path}/run-{len(self.runs()):06d}")
 
     def read(self) -> DataFrame:
-        if not self.runs:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/run={i}" for i in range(self.runs)])
+        runs = self.runs()
+        return self.spark.read.schema(self.SCHEMA).parquet(*runs) if runs else self.spark.createDataFrame([], self.SCHEMA)
 
     def merge_runs(self) -> None:
         """Merge all runs into one sorted run under a new path; the old runs stay for readers that still use them."""
-        merged = HashForest(self.spark)
-        self.read().repartitionByRange("tree", "path").sortWithinPartitions("tree", "path").write.parquet(f"{merged.path}/run=0")
-        self.path, self.runs = merged.path, 1
+        merged = scratch_path(self.spark, "forest")
+        self.read().repartitionByRange("tree", "path").sortWithinPartitions("tree", "path").write.parquet(f"{merged}/run-000000")
+        self.path = merged
+
+
+def run_folders(spark: SparkSession, path: str) -> list[str]:
+    """The finished runs under a folder, in order."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().startswith("run-")) if fs.exists(p) else []
 
 
 def meet(batch: DataFrame, stored: DataFrame, length: int, min_trees: int = MIN_TREES) -> DataFrame:
@@ -120,45 +128,98 @@ def first_accepted(nodes: DataFrame, earlier: DataFrame, max_rounds: int = 200)
     raise RuntimeError(f"the order of acceptance needs more than {max_rounds} rounds")
 
 
-def batch_duplicates(
-    rows: DataFrame, cutoff: str, row_id: str = "cache_id", at: str = "created_at", text: str = "content", alike: float = ALIKE
-) -> DataFrame:
+#: Nodes of a run lie in a range of their own.
+_RUN = 1 << 50
+
+
+class AcceptedHistory:
+    """What has been accepted so far, as runs under ``path``: the forest, classes of texts and accepted rows.
+
+    A batch reads the forest and, of the accepted texts, only those it has met; nothing that has been accepted is
+    signed or compared with its like again. Runs are added by :meth:`accept_all` and :meth:`check`; a history opened on
+    the same path goes on where it was left.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, alike: float = ALIKE):
+        self.spark, self.path, self.alike = spark, path or scratch_path(spark, "history"), alike
+        self.forest = HashForest(spark, f"{self.path}/forest")
+
+    def _read(self, name: str, like: DataFrame) -> DataFrame:
+        runs = run_folders(self.spark, f"{self.path}/{name}")
+        return self.spark.read.schema(like.schema).parquet(*runs) if runs else like.limit(0)
+
+    def _add(self, classes: DataFrame, rows: DataFrame) -> None:
+        """Append a run: ``classes`` (node, h1, h2, first, text_hash, sig) and accepted ``rows`` (turn, node)."""
+        n = len(run_folders(self.spark, f"{self.path}/rows"))
+        classes.select("node", "h1", "h2", "first", "text_hash").write.parquet(f"{self.path}/classes/run-{n:06d}")
+        self.forest.add_run(classes)
+        rows.select("turn", "node").write.parquet(f"{self.path}/rows/run-{n:06d}")
+
+    def _signed(self, rows: DataFrame, row_id: str, at: str, text: str) -> tuple[DataFrame, DataFrame]:
+        """Signatures of rows with an id, a time and a word, and their classes, numbered as the next run."""
+        good = rows.where(F.col(row_id).isNotNull() & F.col(at).isNotNull())
+        good = good.select(F.struct(F.col(at).alias("at"), F.col(row_id).alias("id")).alias("turn"), F.xxhash64(text).alias("text_hash"), text)
+        signed = materialize(L.with_signatures(good, text, ("turn", "text_hash")), "signed")
+        run = len(run_folders(self.spark, f"{self.path}/rows"))
+        classes = text_classes(signed, "turn", run * _RUN)
+        top = classes.agg(F.max("node")).first()[0]
+        if top is not None and top >= (run + 1) * _RUN:
+            raise RuntimeError("too many partitions for one run; coalesce the batch")
+        return signed, classes
+
+    def accept_all(self, rows: DataFrame, row_id: str, at: str, text: str) -> None:
+        """Take rows in without a check."""
+        signed, classes = self._signed(rows, row_id, at, text)
+        self._add(classes, signed.select("turn", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]))
+
+    def check(self, rows: DataFrame, texts: DataFrame, row_id: str, at: str, text: str) -> DataFrame:
+        """(case_id, accepted_id) of a batch: its rows that repeat an accepted row before them, with each of these.
+
+        Rows are taken by ``at`` and ``row_id`` and come after all that has been accepted; one is accepted, and added to
+        the history, unless it is alike an accepted one before it. Equal sets are decided once, by their first row.
+        ``texts`` has (row_id, text) of the batch and of what has been accepted.
+        """
+        signed, classes = self._signed(rows, row_id, at, text)
+        known = self._read("classes", classes.select("node", "h1", "h2", "first", "text_hash"))
+        entries = materialize(forest_entries(classes), "batch-entries")
+        same = classes.select(F.col("node").alias("a"), "h1", "h2").join(known.select(F.col("node").alias("b"), "h1", "h2"), ["h1", "h2"]).select("a", "b")
+        pairs = materialize(meet(entries, self.forest.read(), prefix_length(self.alike)), "met")
+        both = known.union(classes.select(*known.columns)).select("node", F.col("first.id").alias("first"), "text_hash")
+        found = compare(pairs, texts_of(pairs, both, texts, row_id, text), self.alike).select("a", "b")
+        links = materialize(found.union(same).distinct(), "links")
+        # nodes of this run are the greater ones, so the end of a link that is in the history is always b
+        first = len(run_folders(self.spark, f"{self.path}/rows")) * _RUN
+        beaten = links.where(F.col("b") < first).select(F.col("a").alias("node")).distinct()
+        turn = classes.select("node", "first")
+        inner = links.where(F.col("b") >= first).join(turn.toDF("a", "first_a"), "a").join(turn.toDF("b", "first_b"), "b")
+        later = F.col("first_a") > F.col("first_b")
+        among = inner.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("before"))
+        among = materialize(among.join(beaten, "node", "left_anti").join(beaten.withColumnRenamed("node", "before"), "before", "left_anti"), "among")
+        state = first_accepted(among.select("node").union(among.select("before")), among)
+        refused = beaten.union(state.where("not accepted").select("node")).distinct().withColumn("refused", F.lit(True))
+        # accepted is the first row of each class that isn't refused
+        member = signed.select("h1", "h2", "turn").join(classes.select("h1", "h2", "node", "first"), ["h1", "h2"]).join(refused, "node", "left")
+        decided = materialize(member.select("turn", "node", (F.col("refused").isNull() & (F.col("turn") == F.col("first"))).alias("accepted")), "decided")
+        fine = decided.where("accepted").select("turn", "node")
+        before = self._read("rows", fine).union(fine).select(F.col("turn").alias("turn_b"), F.col("node").alias("before"))
+        near = links.select(F.col("a").alias("node"), F.col("b").alias("before")).union(links.select("b", "a")).union(classes.select("node", F.col("node").alias("before")))
+        out = decided.where("not accepted").join(near, "node").join(before, "before").where("turn_b < turn")
+        out = materialize(out.select(F.col("turn.id").alias("case_id"), F.col("turn_b.id").alias("accepted_id")).distinct(), "cases")
+        self._add(classes.join(refused, "node", "left_anti"), fine)
+        return out
+
+
+def batch_duplicates(rows: DataFrame, texts: DataFrame, cutoff: str, row_id: str = "cache_id", at: str = "created_at", text: str = "content", alike: float = ALIKE) -> DataFrame:
     """(case_id, accepted_id): each row from ``cutoff`` on that repeats an accepted row before it, with each of these.
 
     Rows are taken by ``at`` and ``row_id``; all before the cutoff are accepted, a later one unless it is alike an
-    accepted row before it. Rows with a null id, a null time, or without any word are neither cases nor accepted. Equal
-    sets are decided once, by their first row. Only batch rows look anything up; history is read from its run of the
-    forest and not compared with itself.
+    accepted row before it. Rows with a null id, a null time, or without any word are neither cases nor accepted.
+    ``texts`` has (row_id, text) of all rows. Repeated rows count once, an empty table gives an empty result.
     """
-    spark = rows.sparkSession
-    good = rows.where(F.col(row_id).isNotNull() & F.col(at).isNotNull()).select(F.col(row_id).alias("id"), F.col(at).alias("at"), text)
-    good = good.select(F.struct("at", "id").alias("turn"), (F.col("at") < F.lit(cutoff).cast(good.schema["at"].dataType)).alias("old"), F.xxhash64(text).alias("text_hash"), text)
-    signed = materialize(L.with_signatures(good, text, ("turn", "old", "text_hash")), "signed")
-    # a class is old when its first row is, as all old rows come before all new ones
-    classes = text_classes(signed, "turn", (F.max("old").alias("old"), F.max(~F.col("old")).alias("new")))
-    # every class with a new row looks for others; a class with an old row is part of the history
-    forest = HashForest(spark)
-    forest.add_run(classes.where("old"))
-    entries = materialize(forest_entries(classes.where("new")), "batch-entries")
-    pairs = materialize(meet(entries, forest.read(), prefix_length(alike)), "met")
-    links = materialize(compare(pairs, texts_of(pairs, classes, good, "turn", text), alike).select("a", "b"), "links")
-    info = classes.select("node", "first", "old")
-    ends = links.join(info.toDF("a", "first_a", "old_a"), "a").join(info.toDF("b", "first_b", "old_b"), "b")
-    beaten = ends.where("old_a <> old_b").select(F.when(F.col("old_a"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct()
-    later = F.col("first_a") > F.col("first_b")
-    among = ends.where("not old_a and not old_b").select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("before"))
-    among = materialize(among.join(beaten, "node", "left_anti").join(beaten.withColumnRenamed("node", "before"), "before", "left_anti"), "among")
-    state = first_accepted(among.select("node").union(among.select("before")), among)
-    refused = beaten.union(state.where("not accepted").select("node")).distinct().withColumn("refused", F.lit(True))
-    # accepted are all old rows and the first row of each class without old rows that isn't refused
-    member = signed.select("h1", "h2", "turn", F.col("old").alias("old_row")).join(classes.select("h1", "h2", "node", "first", "old"), ["h1", "h2"]).join(refused, "node", "left")
-    accepted = F.col("old_row") | (~F.col("old") & F.col("refused").isNull() & (F.col("turn") == F.col("first")))
-    fine = materialize(member.select("turn", "node", accepted.alias("accepted")), "decided")
-    alike_nodes = links.select(F.col("a").alias("node"), F.col("b").alias("before")).union(links.select("b", "a")).union(classes.where("new").select("node", F.col("node").alias("before")))
-    cases = fine.where("not accepted").select(F.col("turn"), "node")
-    accepted = fine.where("accepted").select(F.col("turn").alias("turn_b"), F.col("node").alias("before"))
-    found = cases.join(alike_nodes.distinct(), "node").join(accepted, "before").where("turn_b < turn")
-    return found.select(F.col("turn.id").alias("case_id"), F.col("turn_b.id").alias("accepted_id")).distinct()
+    history = AcceptedHistory(rows.sparkSession, alike=alike)
+    old = F.col(at) < F.lit(cutoff).cast(rows.schema[at].dataType)
+    history.accept_all(rows.where(old), row_id, at, text)
+    return history.check(rows.where(~old), texts, row_id, at, text)
 
 
 def with_job_time(cache: DataFrame, jobs: DataFrame) -> DataFrame:

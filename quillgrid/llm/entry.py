@@ -25,8 +25,9 @@ def p1_copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = batch_history.with_job_time(table(spark, d, "embedding_cache").select("cache_id", "job_id", "content"), table(spark, d, "ingestion_job"))
-    return batch_history.found_pairs(batch_history.batch_duplicates(rows, CUTOFF, at="job_created_at"))
+    texts = table(spark, d, "embedding_cache").select("cache_id", "job_id", "content")
+    rows = batch_history.with_job_time(texts, table(spark, d, "ingestion_job"))
+    return batch_history.found_pairs(batch_history.batch_duplicates(rows, texts, CUTOFF, at="job_created_at"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -112,4 +113,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB's version of the queries that SQL can express."""
-    return {}
+    latest = "d AS (SELECT DISTINCT ON (id) id, library_id, content FROM document_embedding WHERE id IS NOT NULL ORDER BY id, indexed_at DESC NULLS LAST)"
+    lines = "l AS (SELECT id, library_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line_no FROM d WHERE library_id IS NOT NULL)"
+    keys = "k AS (SELECT id, library_id, line_no, regexp_replace(upper(line), '[^\\pL]+', '', 'g') AS key FROM l)"
+    totals = "n AS (SELECT library_id, count(*) AS n FROM d GROUP BY 1)"
+    repeated = "r AS (SELECT library_id, key FROM k JOIN n USING (library_id) WHERE length(key) >= 15 GROUP BY library_id, key, n HAVING count(DISTINCT id) >= 12 AND count(DISTINCT id) >= 0.1 * n)"
+    found = f"WITH {latest}, {lines}, {keys}, {totals}, {repeated} SELECT id, line_no::int AS line_no FROM k JOIN r USING (library_id, key)"
+    return {
+        "p3_found": found,
+        "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    }

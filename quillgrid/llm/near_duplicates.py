@@ -41,15 +41,14 @@ def _slots(sig: np.ndarray) -> np.ndarray:
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def text_classes(signed: DataFrame, least: str, also: tuple = ()) -> DataFrame:
-    """(node, h1, h2, first, text_hash, sig, *also): one row for each distinct set, ``first`` the least value of
-    ``least`` and ``text_hash`` the hash of its text.
+def text_classes(signed: DataFrame, least: str, after: int = 0) -> DataFrame:
+    """(node, h1, h2, first, text_hash, sig): one row for each distinct set, ``first`` the least value of ``least`` and
+    ``text_hash`` the hash of its text. Nodes are numbered from ``after`` on.
 
     Copies are combined before the shuffle. Node numbers are given once and written, so later steps agree on them.
     """
-    one = signed.groupBy("h1", "h2").agg(F.min(F.struct(least, "text_hash", "sig")).alias("m"), *also)
-    rest = [c for c in one.columns if c not in ("h1", "h2", "m")]
-    return materialize(one.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("m")[least].alias("first"), "m.text_hash", "m.sig", *rest), "classes")
+    one = signed.groupBy("h1", "h2").agg(F.min(F.struct(least, "text_hash", "sig")).alias("m"))
+    return materialize(one.select((F.monotonically_increasing_id() + F.lit(after)).alias("node"), "h1", "h2", F.col("m")[least].alias("first"), "m.text_hash", "m.sig"), "classes")
 
 
 def count_sketch(classes: DataFrame) -> np.ndarray:

@@ -95,11 +95,29 @@ def test_batch_duplicates(spark):
     rows = [(1, day(0), a), (2, day(1), a.upper()), (3, day(9), a + " more"), (4, day(9), "another text of some words"), (5, day(10), "another text, of some words"), (6, day(8), None), (7, None, a), (8, day(8), ""), (9, day(11), "x"), (10, day(12), "X!"), (None, day(9), a), (3, day(9), a + " more"), (11, day(13), LONG), (12, day(14), LONG + " z")]
     rows += [(100 + i, day(20 + i), " ".join(f"w{k}" for k in range(i, i + 30))) for i in range(12)]  # a chain: acceptance depends on the order
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "cache_id bigint, created_at timestamp_ntz, content string, turn string, node int")
-    found = batch_history.found_pairs(batch_history.batch_duplicates(df, "2026-03-01 00:00:00"))
+    found = batch_history.found_pairs(batch_history.batch_duplicates(df, df, "2026-03-01 00:00:00"))
     want = brute.p2(list(dict.fromkeys(rows)), datetime.datetime(2026, 3, 1))
     assert {tuple(r) for r in found.collect()} == want and (1, 3) in want and (9, 10) in want
 
 
+def test_history_goes_on_batch_by_batch(spark, sf):
+    """Batches checked one after the other, by a history that is opened again each time, give what one check gives."""
+    jobs = spark.read.parquet(f"{sf}/ingestion_job.parquet")
+    texts = spark.read.parquet(f"{sf}/embedding_cache.parquet").select("cache_id", "job_id", "content")
+    rows = batch_history.with_job_time(texts, jobs)
+    borders = ["2026-03-01 00:00:00", "2026-05-01 00:00:00", "2027-01-01 00:00:00"]
+    at = F.col("job_created_at")
+    path = batch_history.AcceptedHistory(spark).path
+    batch_history.AcceptedHistory(spark, path).accept_all(rows.where(at < borders[0]), "cache_id", "job_created_at", "content")
+    found = set()
+    for lo, hi in zip(borders, borders[1:]):
+        history = batch_history.AcceptedHistory(spark, path)
+        found |= {tuple(r) for r in history.check(rows.where((at >= lo) & (at < hi)), texts, "cache_id", "job_created_at", "content").collect()}
+        history.forest.merge_runs() if hi == borders[-1] else None
+    whole = batch_history.batch_duplicates(rows, texts, borders[0], at="job_created_at")
+    assert found == {tuple(r) for r in whole.collect()} and found
+
+
 def test_forest_runs_merge(spark):
     df = spark.createDataFrame(_varied(40), "entry_id string, title string, content string").withColumn("text_hash", F.xxhash64("content"))
     classes = near_duplicates.text_classes(likeness.with_signatures(df, "content", ("entry_id", "text_hash")), "entry_id")
@@ -109,7 +127,7 @@ def test_forest_runs_merge(spark):
     forest.add_run(classes.where("node % 2 <> 0"))
     before = sorted(map(tuple, forest.read().collect()))
     forest.merge_runs()
-    assert forest.runs == 1 and sorted(map(tuple, forest.read().collect())) == before and len(before) == classes.count() * batch_history.TREES
+    assert len(forest.runs()) == 1 and sorted(map(tuple, forest.read().collect())) == before and len(before) == classes.count() * batch_history.TREES
 
 
 def test_boilerplate(spark):
@@ -248,7 +266,7 @@ def test_empty_tables(spark, kind):
         assert near_duplicates.groups_found(near_duplicates.near_duplicate_groups(df)).count() == 0
     elif kind == "cache":
         df = spark.createDataFrame([], "cache_id bigint, created_at timestamp_ntz, content string")
-        assert batch_history.batch_duplicates(df, "2026-03-01 00:00:00").count() == 0
+        assert batch_history.batch_duplicates(df, df, "2026-03-01 00:00:00").count() == 0
     elif kind == "embedding":
         df = spark.createDataFrame([], "id string, library_id string, content string, indexed_at timestamp_ntz")
         docs = boilerplate.prepared_documents(df)

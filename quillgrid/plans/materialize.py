@@ -25,8 +25,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{scratch_root(spark)}/quillgrid/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder, in this application's part of it, that nothing else uses."""
+    return f"{scratch_root(spark)}/quillgrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,3 +49,9 @@ def drop_scratch(df: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
             return
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/quillgrid/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

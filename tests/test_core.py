@@ -111,6 +111,16 @@ def test_components(spark):
     assert connected_components(star.limit(0)).count() == 0
 
 
+def test_scratch_tables(spark):
+    from quillgrid.plans import materialize as M
+
+    one, two = (M.materialize(spark.range(n).toDF("n"), "scratch") for n in (3, 4))
+    M.drop_scratch(one)
+    assert two.count() == 4
+    with pytest.raises(Exception):
+        one.count()
+
+
 def test_similar_pairs_are_complete(spark):
     texts = ["a b c d e f", "a b c d e g", "a b c d", "x y z", "x y z", "", None, "q"]
     rows = [(i, "k", t) for i, t in enumerate(texts)]

@@ -109,7 +109,7 @@ def meet(batch: DataFrame, stored: DataFrame, length: int, min_trees: int = MIN_
     return pairs.where(F.col("trees") >= min_trees).select("a", "b")
 
 
-def first_accepted(nodes: DataFrame, earlier: DataFrame, max_rounds: int = 200) -> DataFrame:
+def first_accepted(nodes: DataFrame, earlier: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     """(node, accepted) when nodes are taken in order and one is accepted unless an earlier accepted one is alike.
 
     ``earlier`` has (node, before): alike pairs of undecided nodes. Each round decides every node whose earlier

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgrid.functions import vectors as V
 from quillgrid.operators.filters import apply_filter
+from quillgrid.plans.materialize import materialize
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, filters: dict[str, Any] | None = None, threshold: float | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -21,8 +22,9 @@ def top_k(vectors: DataFrame, query: list[float], k: int, filters: dict[str, Any
     length have no score and are left out.
     """
     rows = apply_filter(vectors, filters).withColumn("score", V.cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])))
-    rows = rows.where(F.col("score").isNotNull() if threshold is None else F.col("score") >= threshold)
-    best = rows.withColumn("_key", F.round("score", 6)).orderBy(F.desc("_key"), F.col(id_col)).limit(k)
+    best = rows.withColumn("_key", F.round("score", 6)).orderBy(F.desc_nulls_last("_key"), F.col(id_col)).limit(k)
+    # what the threshold takes away stands last, so it is taken from the k rows and scores are computed once
+    best = best.where(F.col("score").isNotNull() if threshold is None else F.col("score") >= threshold)
     order = Window.orderBy(F.desc("_key"), F.col(id_col))  # k rows
     return best.withColumn("rank", F.row_number().over(order)).drop("_key")
 
@@ -146,8 +148,8 @@ def term_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc_id, score) of every document with a query term; idf is ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Lengths and document frequencies are those of the whole collection. Only counts of the query's terms are kept, so
-    one pass over the texts gives rows of a few numbers.
+    Lengths and document frequencies are those of the whole collection. One pass over the texts writes a few numbers
+    for each document, from which both the statistics and the scores are taken.
     """
     terms = list(dict.fromkeys(t.lower() for t in query))
     if not terms or not all(re.fullmatch("[a-z0-9]+", t) for t in terms):
@@ -155,6 +157,7 @@ def bm25(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str =
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     times = lambda t: F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])"))
     counted = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.regexp_count(low, F.lit("[a-z0-9]+")).alias("len"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = materialize(counted, "term-counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
     some = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))]) if len(terms) > 1 else F.col("tf0")
     both = counted.where(some > 0).join(F.broadcast(stats))  # one row

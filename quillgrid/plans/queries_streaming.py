@@ -58,7 +58,8 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     return J.run_to_table(out, "alerts").select("event_id", "event_type", "severity")
 
 
-@query()
+@query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) - 1 AS b, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL)
+    SELECT user_id, max(n) AS n, round(sum(pow(0.8, b) * CASE WHEN b = n - 1 THEN 1.0::double ELSE 0.2::double END * value), 6) AS ema FROM r GROUP BY user_id""")
 def stream_moving_average(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = J.run_to_table(J.moving_averages(_stream(spark, d), "user_id", "ts", "value"), "ema", "update")

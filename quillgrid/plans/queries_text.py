@@ -190,7 +190,8 @@ def error_kinds(spark: SparkSession, d: str) -> DataFrame:
     return value_shares(rows, "kind").select("kind", "n", F.round("share", 6).alias("share"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 10 AND NOT regexp_matches(x, '^[=#-]'))[1] AS f FROM documents)
+    SELECT doc_id, CASE WHEN length(f) > 100 THEN left(f, 100) || '...' ELSE f END AS title FROM t""")
 def first_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, _DOCS).select("doc_id", X.first_line_title(F.col("text")).alias("title"))
 

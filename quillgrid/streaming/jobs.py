@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -101,5 +103,6 @@ class MovingAverage(StatefulProcessor):
 
 def moving_averages(stream: DataFrame, key: str, ts: str, value: str, keep: float = 0.8) -> DataFrame:
     """(key, n, ema) after each batch, in update mode; needs the RocksDB state store."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the driver's own Python worker gets no files
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.col(value).cast("double").alias("value"))
     return rows.groupBy("key").transformWithStateInPandas(MovingAverage(keep), "key string, n bigint, ema double", "Update", "None")

@@ -25,15 +25,22 @@ DEPTH = 4
 #: A pair counts as met when it shares a range in so many trees: chance hits of unlike texts are mostly single.
 MIN_TREES = 2
 RECALL = 0.99999
-#: Coordinates of each tree: all trees differ, and coordinates are used equally often.
-_rng = np.random.Generator(np.random.PCG64(77))
-_TREE = np.array([_rng.permutation(L.COORDINATES)[:DEPTH] for _ in range(TREES)])
+#: Coordinates of each tree. The first three are the tree's own, so prefixes of three meet independently of each other;
+#: the fourth is the first of the tree half way round, so whole keys are independent in half of the trees.
+_TREE = np.array([[3 * t, 3 * t + 1, 3 * t + 2, 3 * ((t + TREES // 2) % TREES)] for t in range(TREES)])
 
 
 def recall_at(length: int, alike: float, trees: int, min_trees: int) -> float:
-    """The probability that a pair of that likeness shares a prefix of ``length`` coordinates in enough trees."""
-    p = alike**length
-    return 1 - sum(math.comb(trees, i) * p**i * (1 - p) ** (trees - i) for i in range(min_trees))
+    """The least probability that a pair of that likeness shares a prefix of ``length`` coordinates in enough trees.
+
+    Trees that have a coordinate of an earlier one in their prefix depend on it and aren't counted; the others are
+    independent, and the trees left out can only add to what is met.
+    """
+    p, used, n = alike**length, set(), 0
+    for own in (set(t) for t in _TREE[:trees, :length].tolist()):
+        if not own & used:
+            used, n = used | own, n + 1
+    return 1 - sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(min_trees))
 
 
 def prefix_length(alike: float = ALIKE, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, min_trees: int = MIN_TREES) -> int:
@@ -49,8 +56,7 @@ def forest_entries(classes: DataFrame, trees: int = TREES) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = L.signature_matrix(batch.column("sig"))
-            top = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint64)[:, _TREE[:trees]]
+            top = L.short_matrix(batch.column("sig")).astype(np.uint64)[:, _TREE[:trees]]
             path = np.zeros(top.shape[:2], np.uint64)
             for d in range(DEPTH):
                 path = (path << np.uint64(16)) | top[:, :, d]
@@ -159,7 +165,7 @@ class AcceptedHistory:
         """Signatures of rows with an id, a time and a word, and their classes, numbered as the next run."""
         good = rows.where(F.col(row_id).isNotNull() & F.col(at).isNotNull())
         good = good.select(F.struct(F.col(at).alias("at"), F.col(row_id).alias("id")).alias("turn"), F.xxhash64(text).alias("text_hash"), text)
-        signed = materialize(L.with_signatures(good, text, ("turn", "text_hash")), "signed")
+        signed = materialize(L.with_signatures(good, text, ("turn", "text_hash"), short=True), "signed")
         run = len(run_folders(self.spark, f"{self.path}/rows"))
         classes = text_classes(signed, "turn", run * _RUN)
         top = classes.agg(F.max("node")).first()[0]

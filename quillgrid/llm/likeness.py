@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-COORDINATES = 40
+#: Coordinates that problem 5 compares, and all of a signature: the hash forest of problem 2 has 40 trees of 3 of their own.
+COORDINATES, ALL_COORDINATES = 40, 120
 #: Bits of each coordinate that travel with a posting: 21 coordinates fill one 64-bit number.
 _PER_LONG, _BITS = 21, 3
 _MASK = sum(1 << (_BITS * i) for i in range(_PER_LONG))
@@ -26,6 +27,10 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _MULTIPLY = (_rng.integers(0, 2**31, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 2**32, COORDINATES, dtype=np.uint64).astype(np.uint32)
+_rng = np.random.Generator(np.random.PCG64(20240301))
+_MORE = ALL_COORDINATES - COORDINATES
+_MULTIPLY = np.concatenate([_MULTIPLY, (_rng.integers(0, 2**31, _MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)])
+_ADD = np.concatenate([_ADD, _rng.integers(0, 2**32, _MORE, dtype=np.uint64).astype(np.uint32)])
 _LOW52 = np.uint64((1 << 52) - 1)
 
 
@@ -82,17 +87,17 @@ def shingle_sets(texts: list[bytes]) -> np.ndarray:
     return found[np.concatenate([np.ones(1, bool), found[1:] != found[:-1]])] if len(found) else found
 
 
-def signatures(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text numbers, set hashes [n, 2], sizes, signature [n, COORDINATES] of uint32) of the texts that have members."""
+def signatures(members: np.ndarray, coordinates: int = ALL_COORDINATES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text numbers, set hashes [n, 2], sizes, signature [n, coordinates] of uint32) of the texts that have members."""
     owner = members >> _u(52)
     begin = np.flatnonzero(np.concatenate([np.ones(1, bool), owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    sig = np.empty((len(begin), COORDINATES), np.uint32)
+    sig = np.empty((len(begin), coordinates), np.uint32)
     both = np.empty((len(begin), 2), np.uint64)
     if not len(begin):
         return owner[begin], both, begin, sig
     base = members & _LOW52
     x = ((base * _u(0xD6E8FEB86659FD93)) >> _u(32)).astype(np.uint32)
-    for k in range(COORDINATES):
+    for k in range(coordinates):
         v = x * _MULTIPLY[k] + _ADD[k]
         v ^= v >> np.uint32(15)
         v *= np.uint32(0x2C1B3C6D)
@@ -140,8 +145,9 @@ def _slices(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[tuple[p
         yield batch.slice(start), [t[start:] for t in texts]
 
 
-def with_signatures(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """(*keep, h1, h2, n_members, sig): hash of the text's set (128 bits), its size, its signature as bytes.
+def with_signatures(df: DataFrame, text: str, keep: tuple[str, ...], coordinates: int = ALL_COORDINATES, short: bool = False) -> DataFrame:
+    """(*keep, h1, h2, n_members, sig): hash of the text's set (128 bits), its size, its signature as bytes: 32 bits of
+    each of the first ``coordinates``, or 16 of them for :func:`short_matrix`.
 
     Rows without any word (null, blank, punctuation) are left out; all others have one row each.
     """
@@ -151,10 +157,11 @@ def with_signatures(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, (texts,) in _slices(whole, ("_words",)):
-                rows, both, n, sig = signatures(shingle_sets(texts))
+                rows, both, n, sig = signatures(shingle_sets(texts), coordinates)
                 picked = batch.take(pa.array(rows, pa.int64()))
-                width = COORDINATES * 4
-                data = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(sig.astype("<u4").tobytes())])
+                sig = shortened(sig).astype("<u2") if short else sig.astype("<u4")
+                width = coordinates * sig.itemsize
+                data = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(sig.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [picked.column(c) for c in names] + [pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64)), pa.array(n.astype(np.int32)), data],
                     names=names + ["h1", "h2", "n_members", "sig"],
@@ -165,8 +172,21 @@ def with_signatures(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFram
 
 
 def signature_matrix(column: pa.Array) -> np.ndarray:
-    """A column of signatures as an array [rows, COORDINATES]."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
+    """The first coordinates of a column of signatures as an array [rows, COORDINATES]."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)[:, :COORDINATES]
+
+
+def shortened(sig: np.ndarray) -> np.ndarray:
+    """16 bits of each coordinate."""
+    return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+
+
+def short_matrix(column: pa.Array) -> np.ndarray:
+    """16 bits of each coordinate of a column of signatures, kept whole or short, [rows, ALL_COORDINATES]."""
+    data = b"".join(column.to_pylist())
+    if len(data) == len(column) * ALL_COORDINATES * 2:
+        return np.frombuffer(data, "<u2").reshape(-1, ALL_COORDINATES)
+    return shortened(np.frombuffer(data, "<u4").reshape(-1, ALL_COORDINATES))
 
 
 def exact_likeness(pairs: DataFrame, keep: tuple[str, ...], at_least: float) -> DataFrame:

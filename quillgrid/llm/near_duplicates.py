@@ -159,7 +159,7 @@ def near_duplicate_groups(df: DataFrame, entry_id: str = "entry_id", title: str
     rows = df.where(F.col(entry_id).isNotNull()).select(entry_id, title, content)
     keyed = canonical.with_canonical_keys(rows, title, content)
     keyed = keyed.withColumn("text_hash", F.xxhash64(content))
-    signed = materialize(L.with_signatures(keyed, content, (entry_id, "text_hash", "flat", "ordered")), "signed")
+    signed = materialize(L.with_signatures(keyed, content, (entry_id, "text_hash", "flat", "ordered"), L.COORDINATES), "signed")
     classes = text_classes(signed, entry_id)
     members = materialize(signed.join(classes.select("h1", "h2", "node", "first"), ["h1", "h2"]).select(F.col(entry_id).alias("id"), "flat", "ordered", "node", F.col("first").alias("class_id")), "members")
     same = members.where("flat is not null").select("node", F.explode(F.array("flat", "ordered")).alias("k")).distinct()

@@ -1,8 +1,8 @@
 """Subject areas of documents (problem 8): distributed latent Dirichlet topic models.
 
 Terms of a document are words of its prose (code is left out), pairs of Han characters and runs of katakana. Terms that
-are rare in the corpus or common within a language say nothing about a subject; both are known from document
-frequencies over all documents. A topic model is fitted to all documents of each language. Topics are mapped to
+are rare, or common within a language and as common in documents of any subject, say nothing about a subject; document
+frequencies are counted over all documents, the evenness of common terms over the hand-labelled ones. A topic model is fitted to all documents of each language. Topics are mapped to
 subjects through their terms: a topic belongs to the subject with whose hand-labelled documents its terms go most. A
 document is assigned a subject when enough of its terms, and those of more than one sentence, fall to topics of it.
 """
@@ -23,8 +23,11 @@ from quillgrid.plans.materialize import materialize
 
 TOPICS = 24
 ITERATIONS = 20
-#: A term is kept from this share of all documents on, and up to this share of the documents of any language.
+#: A term is kept from this share of all documents on; beyond this share of the documents of a language it is common.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.12
+#: A common term is kept as a subject's own if in labelled documents of one subject it is so many times as frequent as in
+#: the mean over subjects. So many documents in which it is as frequent as in its language count with those of each.
+UNEVEN, EVEN_DOCUMENTS = 1.8, 5.0
 #: Languages with fewer documents get no model of their own.
 LEAST_DOCUMENTS = 30
 #: Share of a term's weight that must lie in topics of one subject for the term to speak for it.
@@ -118,15 +121,45 @@ def term_frequencies(terms: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Kept terms, common terms of each language, and documents of each language; all bounded by the least share."""
+    """Kept terms, common terms of each language, terms left out in each, and documents of each; all bounded by the least
+    share."""
 
     kept: list[str]
     common: dict[str, set[str]]
+    left_out: dict[str, set[str]]
     documents: dict[str, int]
 
 
-def vocabulary(terms: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> Vocabulary:
-    """Terms to model. At most (mean distinct terms of a document) / ``least`` terms reach the driver."""
+def _given(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null and subject_id is not null").select("doc_id", "subject_id").distinct()
+
+
+def uneven_terms(terms: DataFrame, labels: DataFrame, shares: dict[tuple[str, str], float]) -> set[tuple[str, str]]:
+    """Those (lang, term) of ``shares``, which has their shares of the documents, that are a subject's own.
+
+    What reaches the driver is bounded by these terms times subjects.
+    """
+    if not shares:
+        return set()
+    found = terms.where("lang is not null").join(_given(labels), "doc_id").dropDuplicates(["doc_id", "subject_id"])
+    term = F.explode(F.array_union(F.split("sentences", "[ \n]"), F.array(F.lit(""))))  # "" counts the documents
+    found = found.select("lang", "subject_id", term.alias("term")).where(F.col("term").isin(["", *sorted({t for _, t in shares})]))
+    seen = {(r["lang"], r["term"], r["subject_id"]): r["n"] for r in found.groupBy("lang", "term", "subject_id").agg(F.count("*").alias("n")).collect()}
+    subjects = {s for _, _, s in seen}
+    out = set()
+    for (lang, t), x in shares.items():
+        p = [(seen.get((lang, t, s), 0) + EVEN_DOCUMENTS * x) / (seen.get((lang, "", s), 0) + EVEN_DOCUMENTS) for s in subjects]
+        if p and max(p) >= UNEVEN * sum(p) / len(p):
+            out.add((lang, t))
+    return out
+
+
+def vocabulary(terms: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE, labels: DataFrame | None = None) -> Vocabulary:
+    """Terms to model. At most (mean distinct terms of a document) / ``least`` terms reach the driver.
+
+    A term that is common in a language and no subject's own there, by the labelled documents, is left out; in other
+    languages it is left out unless it is a subject's own in them.
+    """
     counted = materialize(term_frequencies(terms), "term-frequencies")
     sizes = {r["lang"]: r["documents"] for r in counted.where("term = ''").collect()}  # one row for each language code
     total = sum(sizes.values())
@@ -134,14 +167,16 @@ def vocabulary(terms: DataFrame, least: float = LEAST_SHARE, most: float = MOST_
     floor = max(3, least * total)
     enough = counted.where("term <> ''").groupBy("term").agg(F.sum("documents").alias("all")).where(F.col("all") >= floor)
     rows = counted.join(enough, "term").where(F.col("lang").isin(list(large))).select("lang", "term", "documents").collect()
-    share: dict[str, float] = {}
+    share = {(r["lang"], r["term"]): r["documents"] / large[r["lang"]] for r in rows}
     common: dict[str, set[str]] = {k: set() for k in large}
-    for r in rows:
-        x = r["documents"] / large[r["lang"]]
-        share[r["term"]] = max(share.get(r["term"], 0.0), x)
+    for (lang, t), x in share.items():
         if x > most:
-            common[r["lang"]].add(r["term"])
-    return Vocabulary(sorted(t for t, x in share.items() if x <= most), common, large)
+            common[lang].add(t)
+    frequent = set().union(*common.values())
+    own = uneven_terms(terms, labels, {k: x for k, x in share.items() if k[1] in frequent}) if labels is not None else set()
+    function = {t for k in large for t in common[k] if (k, t) not in own}
+    left_out = {k: {t for t in function if (k, t) not in own} for k in large}
+    return Vocabulary(sorted({t for k, t in share if t not in left_out[k]}), common, left_out, large)
 
 
 def modelled_terms(terms: DataFrame, words: Vocabulary) -> DataFrame:
@@ -151,10 +186,10 @@ def modelled_terms(terms: DataFrame, words: Vocabulary) -> DataFrame:
     A document of unknown language takes the language whose common terms it has most of.
     """
     spark = terms.sparkSession
-    shared = spark.sparkContext.broadcast((words.kept, words.common))  # bounded by the least share
+    shared = spark.sparkContext.broadcast((words.kept, words.common, words.left_out))  # bounded by the least share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, common = shared.value
+        kept, common, left_out = shared.value
         number = {t: i for i, t in enumerate(kept)}
         for batch in batches:
             langs, bags, at = [], [], []
@@ -162,7 +197,8 @@ def modelled_terms(terms: DataFrame, words: Vocabulary) -> DataFrame:
                 if lang not in common and common:
                     own = set(bag.split())
                     lang = max(sorted(common), key=lambda k: len(own & common[k]) / max(1, len(common[k])) ** 0.5)
-                pairs = [(t, i) for i, s in enumerate(bag.split(_BREAK)) for t in s.split() if t in number]
+                without = left_out.get(lang, ())
+                pairs = [(t, i) for i, s in enumerate(bag.split(_BREAK)) for t in s.split() if t in number and t not in without]
                 langs.append(lang)
                 bags.append([t for t, _ in pairs])
                 at.append([i for _, i in pairs])
@@ -246,7 +282,7 @@ def labelled_weights(documents: DataFrame, models: dict, kept: list[str], labels
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast((models, _lookups(models, kept)))
-    given = labels.where("doc_id is not null and subject_id is not null").select("doc_id", "subject_id").distinct().groupBy("doc_id").agg(F.collect_set("subject_id").alias("subject_ids"))
+    given = _given(labels).groupBy("doc_id").agg(F.collect_set("subject_id").alias("subject_ids"))
     order = {x: i for i, x in enumerate(subjects)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +370,7 @@ def assign_subjects(documents: DataFrame, models: dict, kept: list[str], mapped:
 def document_subjects(df: DataFrame, areas: DataFrame, labels: DataFrame, topics: int = TOPICS) -> DataFrame:
     """(doc_id, subject_id, sentences, share) of every document of ``df`` (doc_id, text, lang)."""
     terms = materialize(document_terms(df), "terms")
-    words = vocabulary(terms)
+    words = vocabulary(terms, labels=labels)
     documents = materialize(modelled_terms(terms, words), "modelled")
     models = fit_topics(documents, words, topics)
     subjects = sorted(r["subject_id"] for r in areas.where("subject_id is not null").select("subject_id").distinct().collect())  # a fixed table

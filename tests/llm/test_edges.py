@@ -279,6 +279,23 @@ def test_subjects_of_odd_texts(spark):
     assert not {d for d, _ in found} & {900, 901, 902, 903, None}
 
 
+def test_subject_of_a_third_of_all_documents(spark):
+    """A hot subject's own words stand in nearly 30 % of all documents; they are kept and its documents found."""
+    areas = spark.createDataFrame([(i, f"subject {i}") for i in range(12)], "subject_id int, subject string")
+    words = [[f"{chr(97 + s)}{w}" for w in ("orbit", "galaxy", "molecule", "isotope", "enzyme", "fossil")] for s in range(12)]
+    fill = ["nothing", "stops", "reading", "small", "default", "keeps", "copy", "near"]
+    rng = np.random.default_rng(5)
+    of = [0 if i % 3 == 0 else 1 + i % 11 for i in range(660)]
+    text = lambda s: " ".join(f"{rng.choice(fill).capitalize()} the {rng.choice(words[s])} {rng.choice(words[s])} {rng.choice(fill)}." for _ in range(6))
+    df = spark.createDataFrame([(i, text(s), "en", "/l/n") for i, s in enumerate(of)], "doc_id bigint, text string, lang string, library_id string")
+    labels = spark.createDataFrame([(i, s) for i, s in enumerate(of) if i % 5 == 0], "doc_id bigint, subject_id int")
+    found = {(r.doc_id, r.subject_id) for r in subjects.document_subjects(df, areas, labels).collect()}
+    hot = {(i, 0) for i, s in enumerate(of) if s == 0}
+    assert len(found & hot) >= 0.95 * len(hot) and len(found - set(enumerate(of))) <= 33
+    kept = subjects.vocabulary(subjects.document_terms(df), labels=labels).kept
+    assert set(words[0]) <= set(kept) and not set(fill) & set(kept)
+
+
 @pytest.mark.parametrize("kind", ["entries", "cache", "embedding", "documents"])
 def test_empty_tables(spark, kind):
     if kind == "entries":

@@ -23,13 +23,13 @@ from quillgrid.plans.materialize import materialize
 
 TOPICS = 24
 ITERATIONS = 20
-#: A term is kept from this share of all documents on; beyond this share of the documents of a language it is common.
+#: A term is kept from this share of the documents of any language on; beyond this share of a language's it is common.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.12
 #: A common term is kept as a subject's own if in labelled documents of one subject it is so many times as frequent as in
 #: the mean over subjects. So many documents in which it is as frequent as in its language count with those of each.
 UNEVEN, EVEN_DOCUMENTS = 1.8, 5.0
-#: Languages with fewer documents get no model of their own.
-LEAST_DOCUMENTS = 30
+#: Languages with fewer documents have one model together, under the name SHARED.
+LEAST_DOCUMENTS, SHARED = 30, ""
 #: Share of a term's weight that must lie in topics of one subject for the term to speak for it.
 SPECIFIC = 0.5
 LEAST_SENTENCES = 2
@@ -155,7 +155,10 @@ def uneven_terms(terms: DataFrame, labels: DataFrame, shares: dict[tuple[str, st
 
 
 def vocabulary(terms: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE, labels: DataFrame | None = None) -> Vocabulary:
-    """Terms to model. At most (mean distinct terms of a document) / ``least`` terms reach the driver.
+    """Terms to model. At most (mean distinct terms of a document) / ``least`` terms of each language reach the driver.
+
+    A term is kept if it is frequent enough within a language, or within all documents; the languages with few documents
+    count as one, in which no term is left out for being common: their documents are too few and too mixed to tell.
 
     A term that is common in a language and no subject's own there, by the labelled documents, is left out; in other
     languages it is left out unless it is a subject's own in them.
@@ -164,9 +167,16 @@ def vocabulary(terms: DataFrame, least: float = LEAST_SHARE, most: float = MOST_
     sizes = {r["lang"]: r["documents"] for r in counted.where("term = ''").collect()}  # one row for each language code
     total = sum(sizes.values())
     large = {k: n for k, n in sizes.items() if k is not None and n >= LEAST_DOCUMENTS}
+    few = sum(n for k, n in sizes.items() if k not in large)  # those of unknown language too, which may turn out to be of any
     floor = max(3, least * total)
-    enough = counted.where("term <> ''").groupBy("term").agg(F.sum("documents").alias("all")).where(F.col("all") >= floor)
-    rows = counted.join(enough, "term").where(F.col("lang").isin(list(large))).select("lang", "term", "documents").collect()
+    lang = F.when(F.col("lang").isin(list(large)), F.col("lang")).otherwise(SHARED)
+    merged = counted.where("term <> ''").groupBy(lang.alias("lang"), "term").agg(F.sum("documents").alias("documents"))
+    own_floor = F.lit(max(3, least * few))
+    for k, n in sorted(large.items()):
+        own_floor = F.when(F.col("lang") == k, max(3, least * n)).otherwise(own_floor)
+    enough = merged.groupBy("term").agg(F.sum("documents").alias("all"), F.max(F.col("documents") >= own_floor).alias("own")).where((F.col("all") >= floor) | F.col("own"))
+    found = merged.join(enough, "term").select("lang", "term", "documents").collect()
+    rows = [r for r in found if r["lang"] != SHARED]
     share = {(r["lang"], r["term"]): r["documents"] / large[r["lang"]] for r in rows}
     common: dict[str, set[str]] = {k: set() for k in large}
     for (lang, t), x in share.items():
@@ -176,14 +186,16 @@ def vocabulary(terms: DataFrame, least: float = LEAST_SHARE, most: float = MOST_
     own = uneven_terms(terms, labels, {k: x for k, x in share.items() if k[1] in frequent}) if labels is not None else set()
     function = {t for k in large for t in common[k] if (k, t) not in own}
     left_out = {k: {t for t in function if (k, t) not in own} for k in large}
-    return Vocabulary(sorted({t for k, t in share if t not in left_out[k]}), common, left_out, large)
+    kept = {t for k, t in share if t not in left_out[k]} | ({r["term"] for r in found if r["lang"] == SHARED} - function)
+    return Vocabulary(sorted(kept), common, left_out | {SHARED: function}, large | ({SHARED: few} if few else {}))
 
 
 def modelled_terms(terms: DataFrame, words: Vocabulary) -> DataFrame:
     """(doc_id, lang, terms, numbers, sentence_of): the kept terms of each document, as text and by their numbers, and
     the sentence in which each stands.
 
-    A document of unknown language takes the language whose common terms it has most of.
+    A document of unknown language takes the language whose common terms it has most of. One of a language with few
+    documents, or of unknown language without any common term, goes to the shared model.
     """
     spark = terms.sparkSession
     shared = spark.sparkContext.broadcast((words.kept, words.common, words.left_out))  # bounded by the least share
@@ -194,9 +206,12 @@ def modelled_terms(terms: DataFrame, words: Vocabulary) -> DataFrame:
         for batch in batches:
             langs, bags, at = [], [], []
             for lang, bag in zip(batch.column("lang").to_pylist(), batch.column("sentences").to_pylist()):
-                if lang not in common and common:
+                if lang is None and common:
                     own = set(bag.split())
                     lang = max(sorted(common), key=lambda k: len(own & common[k]) / max(1, len(common[k])) ** 0.5)
+                    lang = lang if own & common[lang] else SHARED
+                elif lang not in common:
+                    lang = SHARED
                 without = left_out.get(lang, ())
                 pairs = [(t, i) for i, s in enumerate(bag.split(_BREAK)) for t in s.split() if t in number and t not in without]
                 langs.append(lang)
@@ -218,7 +233,7 @@ def fit_topics(documents: DataFrame, words: Vocabulary, topics: int = TOPICS, it
     for lang, n in sorted(words.documents.items()):
         own = documents.where((F.col("lang") == lang) & (F.size("terms") > 1))
         here = sorted(r["t"] for r in own.select(F.explode("terms").alias("t")).distinct().collect())  # a part of the vocabulary
-        if len(here) < topics:
+        if not here:
             continue
         vectors = CountVectorizerModel.from_vocabulary(here, inputCol="terms", outputCol="features").transform(own.select("terms")).select("features")
         share = min(1.0, max(1.0 / iterations, 200 / n))
@@ -314,6 +329,20 @@ def labelled_weights(documents: DataFrame, models: dict, kept: list[str], labels
     return topics, terms
 
 
+def lend_terms(models: dict, topics: dict, terms: dict) -> None:
+    """Add to the shared model, for its terms and the topics that hold them, what labelled documents of the other
+    languages say of these terms."""
+    if SHARED not in models:
+        return
+    names, weights = models[SHARED]
+    column, lent = {t: i for i, t in enumerate(names)}, np.zeros_like(terms[SHARED])
+    for lang in models.keys() - {SHARED}:
+        there = [i for i, t in enumerate(models[lang][0]) if t in column]
+        lent[[column[models[lang][0][i]] for i in there]] += terms[lang][there]
+    terms[SHARED] += lent
+    topics[SHARED] += (weights / weights.sum(1, keepdims=True)) @ lent
+
+
 def _even(a: np.ndarray) -> np.ndarray:
     """Rows that add up to 1, after subjects have been weighed by how often they are given."""
     a = a / np.maximum(a.sum(0, keepdims=True), 1.0)
@@ -374,5 +403,7 @@ def document_subjects(df: DataFrame, areas: DataFrame, labels: DataFrame, topics
     documents = materialize(modelled_terms(terms, words), "modelled")
     models = fit_topics(documents, words, topics)
     subjects = sorted(r["subject_id"] for r in areas.where("subject_id is not null").select("subject_id").distinct().collect())  # a fixed table
-    mapped = map_topics(models, *labelled_weights(documents, models, words.kept, labels, subjects))
+    topic_weights, term_weights = labelled_weights(documents, models, words.kept, labels, subjects)
+    lend_terms(models, topic_weights, term_weights)
+    mapped = map_topics(models, topic_weights, term_weights)
     return assign_subjects(documents, models, words.kept, mapped, subjects)

@@ -296,6 +296,27 @@ def test_subject_of_a_third_of_all_documents(spark):
     assert set(words[0]) <= set(kept) and not set(fill) & set(kept)
 
 
+def test_terms_of_a_small_language_are_kept(spark):
+    """A term in a tenth of 40 documents is kept, however many documents of other languages there are."""
+    rows = [(i, "en", f"common w{i % 50}") for i in range(6000)] + [(10_000 + i, "fi", "sana" if i % 10 else "harva") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, sentences string")
+    assert {"harva", "w7"} <= set(subjects.vocabulary(df).kept)
+
+
+def test_subjects_of_languages_with_few_documents(spark):
+    """Languages of 24 and 1 documents have no model of their own; the first has labels, the second shares words with it."""
+    areas = spark.createDataFrame([(i, f"subject {i}") for i in range(2)], "subject_id int, subject string")
+    large = [["orbit", "galaxy", "comet", "planet"], ["enzyme", "fossil", "protein", "cell"]]
+    small = [["rata", "galaksi", "komeetta", "planeetta"], ["entsyymi", "fossiili", "proteiini", "solu"]]
+    rng = np.random.default_rng(2)
+    text = lambda w: " ".join(f"{rng.choice(w).capitalize()} {rng.choice(w)}." for _ in range(6))
+    rows = [(i, text(large[i % 2]), "en") for i in range(60)] + [(100 + i, text(small[i % 2]), "fi") for i in range(24)] + [(200, text(small[0]), "et")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "doc_id bigint, text string, lang string, library_id string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (*range(0, 60, 3), *range(100, 112))], "doc_id bigint, subject_id int")
+    found = {(r.doc_id, r.subject_id) for r in subjects.document_subjects(df, areas, labels).collect()}
+    assert {(100 + i, i % 2) for i in range(24)} | {(200, 0)} <= found
+
+
 @pytest.mark.parametrize("kind", ["entries", "cache", "embedding", "documents"])
 def test_empty_tables(spark, kind):
     if kind == "entries":

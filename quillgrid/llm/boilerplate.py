@@ -63,13 +63,6 @@ def repeated_by_library(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("library_id").agg(F.collect_set("line").alias("repeated"))
 
 
-def repeated_occurrences(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, line_no): every place where a repeated line of its library stands in a document, lines counted from 0."""
-    hit = docs.join(repeated_by_library(nodes), "library_id").where(F.arrays_overlap("lines", "repeated"))
-    at = hit.select("id", "repeated", F.posexplode("lines").alias("line_no", "line"))
-    return at.where("array_contains(repeated, line)").select("id", "line_no")
-
-
 def repeated_edges(docs: DataFrame, nodes: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
     """(library_id, a, b, support): pairs of repeated lines that follow each other, with nothing but short lines
     between, in enough documents of the library."""
@@ -91,19 +84,43 @@ def boilerplate_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("library_id", "line", "support", F.coalesce("component", "node").alias("block"))
 
 
+def blocks_by_library(blocks: DataFrame) -> DataFrame:
+    """(library_id, repeated, block_of): a library's boilerplate lines in one array, as bounded as
+    :func:`repeated_by_library`, and the block of each."""
+    own = blocks.groupBy("library_id").agg(F.collect_set(F.struct("line", "block")).alias("b"))
+    return own.select("library_id", F.col("b.line").alias("repeated"), F.map_from_entries(F.transform("b", lambda x: F.struct(x["line"], x["block"]))).alias("block_of"))
+
+
+def library_blocks(docs: DataFrame) -> DataFrame:
+    """(library_id, line, support, block) of prepared documents, written once: what is found and removed comes from it."""
+    nodes = materialize(repeated_lines(docs), "line-nodes")
+    return materialize(boilerplate_blocks(nodes, repeated_edges(docs, nodes)), "line-blocks")
+
+
+def block_occurrences(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(id, line_no, block): every place where a line of a block of its library stands, lines counted from 0."""
+    hit = docs.join(blocks_by_library(blocks), "library_id").where(F.arrays_overlap("lines", "repeated"))
+    at = hit.select("id", "repeated", "block_of", F.posexplode("lines").alias("line_no", "line"))
+    return at.where("array_contains(repeated, line)").select("id", "line_no", F.col("block_of")[F.col("line")].alias("block"))
+
+
 def prepared_documents(df: DataFrame, doc_id: str = "id", library: str = "library_id", content: str = "content", version: str | None = "indexed_at") -> DataFrame:
-    """The documents' line keys, written once: support and occurrences both read it."""
+    """The documents' line keys, written once: support, edges and occurrences all read it."""
     return materialize(latest_documents(df, doc_id, library, content, version), "lines")
 
 
-def remove_lines(df: DataFrame, occurrences: DataFrame, doc_id: str = "id", content: str = "content") -> DataFrame:
-    """``df`` with the occurrences' lines removed from ``content`` and the number of them as ``lines_removed``, which
-    replaces a column of that name.
+def remove_blocks(df: DataFrame, blocks: DataFrame, library: str = "library_id", content: str = "content") -> DataFrame:
+    """Every row of ``df`` with the lines of its library's blocks taken out of ``content``, and their number as
+    ``lines_removed``, which replaces a column of that name.
 
-    Contents without such lines, null and empty ones come back as they are. A content of nothing else becomes empty.
+    Each row is matched by its own lines, so rows of one id with different contents lose only their own boilerplate.
+    Null libraries, contents without such lines, null and empty ones come back as they are; a content of nothing else
+    becomes empty. Texts aren't shuffled while a library's blocks are small enough to be broadcast; Spark checks that.
     """
-    gone = occurrences.groupBy(F.col("id").alias(doc_id)).agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.transform(F.split(content, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_gone", s["i"]))
-    clean = F.when(F.col("_gone").isNull(), F.col(content)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    out = df.drop("_gone", "lines_removed").join(gone, doc_id, "left")
-    return out.withColumn(content, clean).withColumn("lines_removed", F.coalesce(F.size("_gone"), F.lit(0))).drop("_gone")
+    own = repeated_by_library(blocks).select(F.col("library_id").alias("_library"), F.col("repeated").alias("_gone"))
+    out = df.drop("_library", "_gone", "_lines", "lines_removed").join(own, F.col(library) == F.col("_library"), "left")
+    out = out.withColumn("_lines", F.zip_with(F.split(content, "\n"), line_keys(F.col(content)), lambda x, k: F.struct(x.alias("x"), F.coalesce(F.array_contains("_gone", k), F.lit(False)).alias("gone"))))
+    kept = F.transform(F.filter("_lines", lambda s: ~s["gone"]), lambda s: s["x"])
+    removed = F.coalesce(F.size("_lines") - F.size(kept), F.lit(0))
+    out = out.withColumn("lines_removed", F.when(F.col("_gone").isNull() | F.col("_lines").isNull(), 0).otherwise(removed))
+    return out.withColumn(content, F.when(F.col("lines_removed") == 0, F.col(content)).otherwise(F.array_join(kept, "\n"))).drop("_library", "_gone", "_lines")

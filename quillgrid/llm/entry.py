@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillgrid.llm import batch_history, boilerplate, canonical, near_duplicates, packing, subjects, token_budget, tokenizer
+from quillgrid.plans.materialize import materialize
 
 CUTOFF = "2026-03-01 00:00:00"
+#: p4_update: the corpus before the update ends here, the one after it begins there.
+UPDATED, KEPT_FROM = "2026-03-01 00:00:00", "2026-02-01 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,26 +30,28 @@ def p1_copies(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "embedding_cache").select("cache_id", "job_id", "content")
     rows = batch_history.with_job_time(texts, table(spark, d, "ingestion_job"))
-    return batch_history.found_pairs(batch_history.batch_duplicates(rows, texts, CUTOFF, at="job_created_at"))
+    return batch_history.found_pairs(batch_history.batch_duplicates(rows, CUTOFF, at="job_created_at"))
+
+
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The forest's recall at each length of prefixes, whole keys first, over the alike pairs of the whole table."""
+    return batch_history.recall_by_length(table(spark, d, "embedding_cache"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     docs = boilerplate.prepared_documents(table(spark, d, "document_embedding"))
-    return boilerplate.repeated_occurrences(docs, boilerplate.repeated_lines(docs))
+    return boilerplate.block_occurrences(docs, boilerplate.library_blocks(docs)).select("id", "line_no")
 
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
-    docs = boilerplate.prepared_documents(table(spark, d, "document_embedding"))
-    nodes = boilerplate.repeated_lines(docs)
-    blocks = boilerplate.boilerplate_blocks(nodes, boilerplate.repeated_edges(docs, nodes))
+    blocks = boilerplate.library_blocks(boilerplate.prepared_documents(table(spark, d, "document_embedding")))
     return blocks.groupBy("library_id", "block").agg(F.count("*").alias("lines"), F.max("support").alias("support"))
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     source = table(spark, d, "document_embedding")
-    docs = boilerplate.prepared_documents(source)
-    found = boilerplate.repeated_occurrences(docs, boilerplate.repeated_lines(docs))
-    return boilerplate.remove_lines(source.select("id", "content"), found).distinct()
+    blocks = boilerplate.library_blocks(boilerplate.prepared_documents(source))
+    return boilerplate.remove_blocks(source.select("id", "library_id", "content"), blocks).select("id", "content", "lines_removed")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,15 +62,32 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return token_budget.wrong_counts(counts.counts_of_keys(token_budget.latest_rows(rows)))
 
 
+def _budget_state(spark: SparkSession, d: str, rows: DataFrame, counts: token_budget.CountTable) -> DataFrame:
+    """One row for each id of ``rows`` with its slices and its number of tokens; the count table is refreshed first."""
+    counts.refresh(rows, "content")
+    keyed = rows.select("id", "indexed_at", "library_id", "programming_language", token_budget.text_key(F.col("content")).alias("text_key"))
+    return token_budget.with_slices(counts.counts_of_keys(token_budget.latest_rows(keyed)), table(spark, d, "language_alias"), table(spark, d, "library_info"))
+
+
 def p4_budget(spark: SparkSession, d: str) -> DataFrame:
-    source = table(spark, d, "document_embedding")
     counts = token_budget.CountTable(spark, tokenizer.Vocabulary(spark))
-    counts.refresh(source, "content")
-    rows = source.select("id", "indexed_at", "library_id", "programming_language", token_budget.text_key(F.col("content")).alias("text_key"))
-    state = token_budget.with_slices(counts.counts_of_keys(token_budget.latest_rows(rows)), table(spark, d, "language_alias"), table(spark, d, "library_info"))
+    state = _budget_state(spark, d, table(spark, d, "document_embedding"), counts)
     return token_budget.budget_cube(token_budget.apply_deltas(None, token_budget.signed_deltas(None, state)))
 
 
+def p4_update(spark: SparkSession, d: str) -> DataFrame:
+    """The cube's cells after the corpus has moved on: it held the rows indexed before UPDATED and now holds those
+    indexed from KEPT_FROM on, so documents come, change and go. ``token_drift`` is what the cells kept by deltas differ
+    by from those counted afresh."""
+    source = table(spark, d, "document_embedding")
+    counts = token_budget.CountTable(spark, tokenizer.Vocabulary(spark))
+    before = materialize(_budget_state(spark, d, source.where(F.col("indexed_at") < F.lit(UPDATED).cast("timestamp_ntz")), counts), "budget-before")
+    cells = materialize(token_budget.apply_deltas(None, token_budget.signed_deltas(None, before)), "cells")
+    after = materialize(_budget_state(spark, d, source.where(F.col("indexed_at") >= F.lit(KEPT_FROM).cast("timestamp_ntz")), counts), "budget-after")
+    kept = token_budget.apply_deltas(cells, token_budget.signed_deltas(before, after))
+    return token_budget.with_drift(kept, token_budget.apply_deltas(None, token_budget.signed_deltas(None, after)))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups_found(near_duplicates.near_duplicate_groups(table(spark, d, "documentation_entry")))
 
@@ -79,12 +101,21 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.decode_documents(tokenizer.encode_documents(table(spark, d, "documents"), vocabulary), vocabulary)
 
 
+def p6_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.offset_documents(table(spark, d, "documents"), tokenizer.Vocabulary(spark))
+
+
+def p6_covered(spark: SparkSession, d: str) -> DataFrame:
+    """How many characters of each document its tokens touch by their offsets: all of them."""
+    return tokenizer.covered_characters(p6_offsets(spark, d))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokenizer.token_counts(table(spark, d, "documents"), tokenizer.Vocabulary(spark), "text", ("doc_id",)))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where("piece_no = 1").select("doc_id").distinct()
+    return packing.split_documents(_packed(spark, d))
 
 
 def p7_slots(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +138,7 @@ def p8_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_copies, p2_found, p3_found, p3_blocks, p3_clean, p4_found, p4_budget, p5_found, p6_ids, p6_round_trip, p7_found, p7_slots, p8_found, p8_totals)
+    named = (p1_found, p1_copies, p2_found, p2_recall, p3_found, p3_blocks, p3_clean, p4_found, p4_budget, p4_update, p5_found, p6_ids, p6_offsets, p6_covered, p6_round_trip, p7_found, p7_slots, p8_found, p8_totals)
     return {f.__name__: f for f in named}
 
 
@@ -119,7 +150,18 @@ def oracle_sql() -> dict[str, str]:
     totals = "n AS (SELECT library_id, count(*) AS n FROM d GROUP BY 1)"
     repeated = "r AS (SELECT library_id, key FROM k JOIN n USING (library_id) WHERE length(key) >= 15 GROUP BY library_id, key, n HAVING count(DISTINCT id) >= 12 AND count(DISTINCT id) >= 0.1 * n)"
     found = f"WITH {latest}, {lines}, {keys}, {totals}, {repeated} SELECT id, line_no::int AS line_no FROM k JOIN r USING (library_id, key)"
+    own_keys = "o AS (SELECT library_id, list(key) AS keys FROM r GROUP BY 1)"
+    kept_lines = "list_filter(string_split(content, chr(10)), lambda x: NOT list_contains(keys, regexp_replace(upper(x), '[^\\pL]+', '', 'g')))"
+    parts = f"s AS (SELECT id, content, string_split(content, chr(10)) AS every, CASE WHEN keys IS NULL THEN NULL ELSE {kept_lines} END AS kept FROM document_embedding LEFT JOIN o USING (library_id))"
+    clean = f"WITH {latest}, {lines}, {keys}, {totals}, {repeated}, {own_keys}, {parts} SELECT id, CASE WHEN kept IS NULL OR len(kept) = len(every) THEN content ELSE array_to_string(kept, chr(10)) END AS content, coalesce(len(every) - len(kept), 0)::int AS lines_removed FROM s"
+    rows = f"d AS (SELECT DISTINCT ON (id) id, library_id, programming_language FROM document_embedding WHERE id IS NOT NULL AND indexed_at >= TIMESTAMP '{KEPT_FROM}' ORDER BY id, indexed_at DESC)"
+    alias = "a AS (SELECT lower(trim(alias)) AS alias, min(language) AS language FROM language_alias GROUP BY 1)"
+    cell = "coalesce(d.library_id, '(unknown)') AS library_id, coalesce(a.language, '(unknown)') AS language, coalesce(i.category, '(unknown)') AS category"
+    update = f"WITH {rows}, {alias} SELECT {cell}, count(*) AS documents, 0::bigint AS token_drift FROM d LEFT JOIN a ON lower(trim(d.programming_language)) = a.alias LEFT JOIN library_info i ON d.library_id = i.library_id GROUP BY 1, 2, 3"
     return {
+        "p3_clean": clean,
+        "p4_update": update,
+        "p6_covered": "SELECT doc_id, coalesce(n_chars, 0) AS n_chars FROM documents",
         "p3_found": found,
         "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

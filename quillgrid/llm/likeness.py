@@ -145,14 +145,15 @@ def _slices(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[tuple[p
         yield batch.slice(start), [t[start:] for t in texts]
 
 
-def with_signatures(df: DataFrame, text: str, keep: tuple[str, ...], coordinates: int = ALL_COORDINATES, short: bool = False) -> DataFrame:
+def with_signatures(df: DataFrame, text: str, keep: tuple[str, ...], coordinates: int = ALL_COORDINATES, short: bool = False, with_words: bool = False) -> DataFrame:
     """(*keep, h1, h2, n_members, sig): hash of the text's set (128 bits), its size, its signature as bytes: 32 bits of
-    each of the first ``coordinates``, or 16 of them for :func:`short_matrix`.
+    each of the first ``coordinates``, or 16 of them for :func:`short_matrix`. ``with_words`` adds the text's ``words``.
 
     Rows without any word (null, blank, punctuation) are left out; all others have one row each.
     """
     source = df.select(*keep, words(F.col(text)).alias("_words")).where("_words <> ''")
     names = list(keep)
+    words_too = ["words"] * with_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -163,12 +164,12 @@ def with_signatures(df: DataFrame, text: str, keep: tuple[str, ...], coordinates
                 width = coordinates * sig.itemsize
                 data = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(sig.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [picked.column(c) for c in names] + [pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64)), pa.array(n.astype(np.int32)), data],
-                    names=names + ["h1", "h2", "n_members", "sig"],
+                    [picked.column(c) for c in names] + [pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64)), pa.array(n.astype(np.int32)), data] + [picked.column("_words")] * with_words,
+                    names=names + ["h1", "h2", "n_members", "sig"] + words_too,
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_words")
-    return source.mapInArrow(run, f"{schema}, h1 bigint, h2 bigint, n_members int, sig binary")
+    return source.mapInArrow(run, f"{schema}, h1 bigint, h2 bigint, n_members int, sig binary" + ", words string" * with_words)
 
 
 def signature_matrix(column: pa.Array) -> np.ndarray:

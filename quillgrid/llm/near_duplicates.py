@@ -8,81 +8,50 @@ them, bound the number of collisions from above, and pairs below the match thres
 remain are compared exactly.
 
 Posting lists stay short because of the prefix. A posting whose list may have more than HOT_LIST members (known from a
-count sketch, which never counts too few) goes the other way: all members are compared with the list's smallest one
-first, and only members that are then in different components are compared with each other, in salted blocks.
+count sketch) goes the other way: all members are compared with the list's smallest one first. Components of all links
+found so far then part each list into its largest component and the others; only members of the others are paired, with
+members of other components, in salted blocks. Members of the largest component never meet each other, so a list of
+near copies costs what it has members, not their square.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillgrid.llm import canonical, likeness as L
+from quillgrid.llm import canonical, likeness as L, sketch as S
 from quillgrid.operators.graph import connected_components
 from quillgrid.plans.materialize import materialize
 
 ALIKE = 0.7
 MIN_MATCHES = 14
 HOT_LIST = 2_000
-SKETCH_BITS = 20
-_BLOCKS = 64
 _SALTS = 16
 _CO = np.arange(L.COORDINATES, dtype=np.uint64) << np.uint64(32)
 
 
-def _slots(sig: np.ndarray) -> np.ndarray:
-    """The counter of each coordinate-value pair in the sketch."""
-    key = sig.astype(np.uint64) | _CO
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _coordinate_keys(batch: pa.RecordBatch) -> np.ndarray:
+    """The coordinate-value pairs of each signature as 64-bit keys, [rows, COORDINATES]."""
+    return L.signature_matrix(batch.column("sig")).astype(np.uint64) | _CO
 
 
-def text_classes(signed: DataFrame, least: str, after: int = 0) -> DataFrame:
-    """(node, h1, h2, first, text_hash, sig): one row for each distinct set, ``first`` the least value of ``least`` and
-    ``text_hash`` the hash of its text. Nodes are numbered from ``after`` on.
+def text_classes(signed: DataFrame, least: str, after: int = 0, keep: str = "text_hash") -> DataFrame:
+    """(node, h1, h2, first, keep, sig): one row for each distinct set, ``first`` the least value of ``least`` and
+    ``keep`` that column's value there. Nodes are numbered from ``after`` on.
 
     Copies are combined before the shuffle. Node numbers are given once and written, so later steps agree on them.
     """
-    one = signed.groupBy("h1", "h2").agg(F.min(F.struct(least, "text_hash", "sig")).alias("m"))
-    return materialize(one.select((F.monotonically_increasing_id() + F.lit(after)).alias("node"), "h1", "h2", F.col("m")[least].alias("first"), "m.text_hash", "m.sig"), "classes")
+    one = signed.groupBy("h1", "h2").agg(F.min(F.struct(least, keep, "sig")).alias("m"))
+    return materialize(one.select((F.monotonically_increasing_id() + F.lit(after)).alias("node"), "h1", "h2", F.col("m")[least].alias("first"), f"m.{keep}", "m.sig"), "classes")
 
 
-def count_sketch(classes: DataFrame) -> np.ndarray:
-    """How often each counter's coordinate-value pairs occur over all classes: 2^SKETCH_BITS numbers, whatever the
-    size of the data. Blocks of it are summed by a two-level tree."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(_slots(L.signature_matrix(batch.column("sig"))).ravel(), minlength=len(total))
-        parts = total.reshape(_BLOCKS, -1)
-        full = [i for i in range(_BLOCKS) if parts[i].any()]
-        if full:
-            group = int(total.sum()) % 64
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([group] * len(full), pa.int32()), pa.array([zlib.compress(parts[i].astype("<i8").tobytes(), 1) for i in full], pa.binary())], names=["block", "grp", "counts"])
-
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in pdf["counts"])
-        return pd.DataFrame({"block": [key[0]], "grp": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    schema = "block int, grp int, counts binary"
-    part = classes.select("sig").mapInArrow(count, schema)
-    rows = part.groupBy("block", "grp").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema).collect()
-    out = np.zeros((_BLOCKS, (1 << SKETCH_BITS) // _BLOCKS), np.int64)
-    for r in rows:  # at most _BLOCKS rows
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-    return out.ravel()
-
-
-def postings(classes: DataFrame, min_matches: int = MIN_MATCHES, hot_list: int = HOT_LIST) -> DataFrame:
+def postings(classes: DataFrame, min_matches: int = MIN_MATCHES, hot_list: int = HOT_LIST, bits: int = S.SKETCH_BITS) -> DataFrame:
     """(key, node, b1, b2, hot): each class under its rarest coordinate-value pairs, with its signature's low bits."""
     spark = classes.sparkSession
-    sketch = spark.sparkContext.broadcast(np.minimum(count_sketch(classes), 2**31 - 1).astype(np.uint32))  # 2^SKETCH_BITS * 4 bytes
+    sketch = spark.sparkContext.broadcast(S.count_sketch(classes.select("sig"), _coordinate_keys, bits))  # 2^bits * 4 bytes
     prefix = L.COORDINATES - min_matches + 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +59,10 @@ def postings(classes: DataFrame, min_matches: int = MIN_MATCHES, hot_list: int =
             if not batch.num_rows:
                 continue
             sig = L.signature_matrix(batch.column("sig"))
-            seen = sketch.value[_slots(sig)].astype(np.uint64)
+            keys = _coordinate_keys(batch)
+            seen = sketch.value[S.slots_of(keys, bits)].astype(np.uint64)
             order = np.argsort((seen << np.uint64(32)) | sig, axis=1, kind="stable")[:, :prefix]
-            key = np.take_along_axis(sig.astype(np.uint64) | _CO, order, 1).astype(np.int64)
+            key = np.take_along_axis(keys, order, 1).astype(np.int64)
             hot = np.take_along_axis(seen, order, 1) > hot_list
             node = batch.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(c, prefix)) for c in (node, *L.packed_bits(sig))), pa.array(hot.ravel())], names=["key", "node", "b1", "b2", "hot"])
@@ -100,18 +70,18 @@ def postings(classes: DataFrame, min_matches: int = MIN_MATCHES, hot_list: int =
     return classes.select("node", "sig").mapInArrow(post, "key bigint, node bigint, b1 bigint, b2 bigint, hot boolean")
 
 
-def _met(left: DataFrame, right: DataFrame, on: list[str], min_matches: int, condition=None) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, on: list[str], min_matches: int) -> DataFrame:
     """Distinct pairs (a, b) of postings that meet and may agree in ``min_matches`` coordinates."""
-    r = right.select(*on, F.col("node").alias("node_b"), F.col("b1").alias("c1"), F.col("b2").alias("c2"), *[F.col(c).alias(c + "_b") for c in right.columns if c == "label"])
+    r = right.select(*on, F.col("node").alias("node_b"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
     met = left.join(r, on).where(F.col("node") < F.col("node_b")).where(L.possible_agreements(("b1", "b2"), ("c1", "c2")) >= min_matches)
-    if condition is not None:
-        met = met.where(condition)
     return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def compare(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
-    """(a, b, likeness) of the pairs whose texts are alike. ``texts`` has (node, words)."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
+def compare(pairs: DataFrame, texts: DataFrame, alike: float, texts_b: DataFrame | None = None) -> DataFrame:
+    """(a, b, likeness) of the pairs whose texts are alike. ``texts`` has (node, words), for b too where ``texts_b``
+    isn't given."""
+    other = texts if texts_b is None else texts_b
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").join(other.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     return L.exact_likeness(both, ("a", "b"), alike)
 
 
@@ -122,10 +92,10 @@ def texts_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame, row_id: str,
     return materialize(found.select("node", L.words(F.col(text)).alias("words")), "texts")
 
 
-def alike_classes(classes: DataFrame, rows: DataFrame, row_id: str, text: str, known: DataFrame | None = None, alike: float = ALIKE, min_matches: int = MIN_MATCHES, hot_list: int = HOT_LIST) -> DataFrame:
+def alike_classes(classes: DataFrame, rows: DataFrame, row_id: str, text: str, known: DataFrame | None = None, alike: float = ALIKE, min_matches: int = MIN_MATCHES, hot_list: int = HOT_LIST, bits: int = S.SKETCH_BITS) -> DataFrame:
     """(a, b) links between classes: all alike pairs that meet in short lists, and from long lists as many as connect
     all that are connected. ``known`` are further links that count for connection."""
-    posted = postings(classes, min_matches, hot_list)
+    posted = postings(classes, min_matches, hot_list, bits)
     cold = posted.where("not hot").drop("hot").repartition("key")  # both sides of the join read this one exchange
     hot = materialize(posted.where("hot").drop("hot"), "hot-postings")
     pairs = materialize(_met(cold, cold, ["key"], min_matches), "candidates")
@@ -141,14 +111,30 @@ def _hot_links(hot: DataFrame, links: DataFrame, classes: DataFrame, rows: DataF
     lead = hot.groupBy("key").agg(F.min(F.struct("node", "b1", "b2")).alias("m")).select("key", "m.*")
     stars = materialize(_met(lead, hot, ["key"], min_matches), "stars")
     found = materialize(compare(stars, texts_of(stars, classes, rows, row_id, text), alike).select("a", "b"), "star-links")
-    label = connected_components(links.union(found)).select("node", F.col("component").alias("label"))
-    labelled = hot.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = labelled.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int"))
-    right = labelled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    rest = materialize(_met(left, right, ["key", "salt"], min_matches, F.col("label") != F.col("label_b")), "apart")
+    rest = materialize(apart(hot, connected_components(links.union(found)), min_matches), "apart")
     return found.union(compare(rest, texts_of(rest, classes, rows, row_id, text), alike).select("a", "b"))
 
 
+def apart(hot: DataFrame, components: DataFrame, min_matches: int) -> DataFrame:
+    """(a, b): members of a list in different components that may agree in enough coordinates.
+
+    One side of each pair is outside the list's largest component; the sides are spread over salts, so a list of a
+    third of all rows isn't one task.
+    """
+    label = components.select("node", F.col("component").alias("label"))
+    labelled = hot.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("m.label").alias("largest"))
+    open_lists = materialize(labelled.join(largest, "key"), "open-lists")
+    left = open_lists.where("label <> largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int"))
+    right = open_lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    r = right.select("key", "salt", F.col("node").alias("node_b"), F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("label").alias("label_b"), F.col("largest").alias("largest_b"))
+    # a pair of two members outside the largest component is formed once
+    once = (F.col("label_b") == F.col("largest_b")) | (F.col("node") < F.col("node_b"))
+    met = left.join(r, ["key", "salt"]).where((F.col("label") != F.col("label_b")) & once).where(L.possible_agreements(("b1", "b2"), ("c1", "c2")) >= min_matches)
+    return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+
+
 def near_duplicate_groups(df: DataFrame, entry_id: str = "entry_id", title: str = "title", content: str = "content", alike: float = ALIKE) -> DataFrame:
     """(id, class_id, group_id) of every entry with a non-blank content that has any letter or digit.
 

@@ -75,7 +75,8 @@ def ranked_within_length(pieces: DataFrame) -> DataFrame:
     tasks. Ranks within a partition are made up by the number of rows of that length in earlier partitions, a table of
     at most partitions + lengths rows.
     """
-    ordered = pieces.repartitionByRange("length", "doc_id", "piece_no").withColumn("part", F.spark_partition_id())
+    # written first: range partitioning samples its input, which would count all tokens twice
+    ordered = materialize(pieces, "pieces").repartitionByRange("length", "doc_id", "piece_no").withColumn("part", F.spark_partition_id())
     local = materialize(ordered.sortWithinPartitions("length", "doc_id", "piece_no"), "packing")
     sizes = local.groupBy("length", "part").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,6 +102,11 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return taken.select("doc_id", "piece_no", "from_token", ranked["length"], "n_tokens", (F.col("first_container") + F.col("rank") - F.col("from_rank")).alias("container_id"))
 
 
+def split_documents(packed: DataFrame) -> DataFrame:
+    """(doc_id): documents that were longer than a container, known by a slot planned for their second piece."""
+    return packed.where("piece_no = 1 and container_id is not null").select("doc_id").distinct()
+
+
 def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(container_id, pieces, tokens, unused) of each container."""
     used = packed.where("container_id is not null").groupBy("container_id").agg(F.count("*").alias("pieces"), F.sum("length").alias("tokens"))

@@ -1,7 +1,7 @@
 """Token budgets per source, language and domain (problem 4).
 
-A count table holds (text_key, tokenizer, n_tokens): 128-bit hash of a text, name of the tokenizer, tokens of that
-text. Only texts whose key isn't in it are encoded. A cube of totals is kept up to date by signed deltas: what a
+A count table holds (text_key, tokenizer, n_tokens): 128-bit hash of a text, name and hash of the tokenizer, tokens of
+that text. Only texts whose key isn't in it are encoded. A cube of totals is kept up to date by signed deltas: what a
 document counted for before is subtracted, what it counts for now is added, and a removed document is only subtracted.
 """
 
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillgrid.llm.tokenizer import Vocabulary, token_counts
-from quillgrid.plans.materialize import scratch_path
+from quillgrid.plans.materialize import finished_runs, materialize, scratch_path
 
 COUNT_SCHEMA = "text_key string, tokenizer string, n_tokens bigint"
 CUBE = ("library_id", "language", "category")
@@ -44,9 +44,7 @@ class CountTable:
         self.spark, self.vocabulary, self.path = spark, vocabulary, path or scratch_path(spark, "token-counts")
 
     def _runs(self) -> list[str]:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().startswith("run-")) if fs.exists(p) else []
+        return finished_runs(self.spark, self.path)
 
     def read(self) -> DataFrame:
         """(text_key, n_tokens) under this table's tokenizer; empty where nothing has been counted yet.
@@ -55,19 +53,21 @@ class CountTable:
         """
         runs = self._runs()
         table = self.spark.read.schema(COUNT_SCHEMA).parquet(*runs) if runs else self.spark.createDataFrame([], COUNT_SCHEMA)
-        return table.where(F.col("tokenizer") == self.vocabulary.name).select("text_key", "n_tokens")
+        return table.where(F.col("tokenizer") == self.vocabulary.version).select("text_key", "n_tokens")
 
     def refresh(self, texts: DataFrame, text: str) -> None:
         """Encode the texts that the table doesn't have and append them as a run. Null texts are never stored.
 
-        Texts are encoded where they are read; only keys and counts are shuffled, so a text that a third of all rows
-        carry is encoded by several tasks at worst and reaches the shuffle once from each.
+        First the keys that are new are found, from keys alone; then texts with such a key are encoded where they are
+        read. Only where there are too many new keys to broadcast are texts shuffled to meet them. A text that a third
+        of all rows carry is encoded once by each task that reads it and counts once for each task in the shuffle.
         """
         rows = texts.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"), text)
         if self._runs():
-            rows = rows.join(self.read(), "text_key", "left_anti")
+            new_keys = materialize(rows.select("text_key").distinct().join(self.read(), "text_key", "left_anti"), "new-keys")
+            rows = rows.join(new_keys, "text_key", "left_semi")
         new = token_counts(rows, self.vocabulary, text, ("text_key",)).groupBy("text_key").agg(F.max("n_tokens").alias("n_tokens"))
-        new.select("text_key", F.lit(self.vocabulary.name).alias("tokenizer"), "n_tokens").write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
+        new.select("text_key", F.lit(self.vocabulary.version).alias("tokenizer"), "n_tokens").write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
 
     def counts_of_keys(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``n_tokens`` in place of their ``text_key`` and of a column of that name; a null key (a null
@@ -118,6 +118,14 @@ def apply_deltas(cells: DataFrame | None, deltas: DataFrame) -> DataFrame:
     return every.groupBy(*CUBE).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
 
 
+def with_drift(kept: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(library_id, language, category, documents, token_drift) of the kept cells and of those that only a fresh count
+    has: documents as kept, and by how many tokens kept and fresh counts differ."""
+    k = kept.select(*CUBE, "documents", F.col("tokens").alias("kept"))
+    both = k.join(fresh.select(*CUBE, F.col("tokens").alias("fresh")), list(CUBE), "full")
+    return both.select(*CUBE, F.coalesce("documents", F.lit(0)).alias("documents"), (F.coalesce("kept", F.lit(0)) - F.coalesce("fresh", F.lit(0))).alias("token_drift"))
+
+
 def budget_cube(cells: DataFrame) -> DataFrame:
     """Totals over every combination of library, language and category; null stands for all of a dimension."""
     return cells.cube(*CUBE).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))

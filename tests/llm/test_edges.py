@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.llm import batch_history, boilerplate, canonical, likeness, near_duplicates, packing, subjects, token_budget, tokenizer
+from quillgrid.llm import batch_history, boilerplate, canonical, entry, likeness, near_duplicates, packing, subjects, token_budget, tokenizer
+from quillgrid.operators.graph import connected_components
 
 LONG = " ".join(f"word{i}" for i in range(200_000))
 ENTRY = "entry_id string, title string, content string, flat string, h1 string, node string, words string"
@@ -62,13 +63,14 @@ def _varied(n, seed=1):
     return out
 
 
-@pytest.mark.parametrize("hot_list", [2_000, 3])
-def test_near_duplicates_with_hot_lists_lose_nothing(spark, hot_list):
+@pytest.mark.parametrize(("hot_list", "bits"), [(2_000, 20), (3, 20), (3, 3), (2_000, 0)])
+def test_near_duplicates_with_hot_lists_lose_nothing(spark, hot_list, bits):
+    """Short and long lists, a sketch that is full (8 counters), and one that tells nothing (1 counter)."""
     rows = _varied(240)
     df = spark.createDataFrame(rows, "entry_id string, title string, content string")
     signed = likeness.with_signatures(df.withColumn("text_hash", F.xxhash64("content")), "content", ("entry_id", "text_hash"))
     classes = near_duplicates.text_classes(signed, "entry_id")
-    links = near_duplicates.alike_classes(classes, df, "entry_id", "content", hot_list=hot_list)
+    links = near_duplicates.alike_classes(classes, df, "entry_id", "content", hot_list=hot_list, bits=bits)
     name = {r.node: r.first for r in classes.collect()}
     c = brute.Components()
     for r in links.collect():
@@ -82,6 +84,16 @@ def test_near_duplicates_with_hot_lists_lose_nothing(spark, hot_list):
     assert brute.groups(c) == brute.groups(want)
 
 
+def test_a_long_list_costs_its_members_not_their_square(spark):
+    """20,000 members of one list, all but 50 in one component: pairs are those of the 50 with the others."""
+    n = 20_000
+    hot = spark.range(n).select(F.lit(1).cast("bigint").alias("key"), F.col("id").alias("node"), F.lit(0).cast("bigint").alias("b1"), F.lit(0).cast("bigint").alias("b2"))
+    edges = spark.range(1, n - 50).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
+    pairs = near_duplicates.apart(hot, connected_components(edges), 14)
+    assert pairs.count() == 50 * (n - 50) + 50 * 49 // 2
+    assert near_duplicates.apart(hot, connected_components(spark.range(1, n).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))), 14).isEmpty()
+
+
 def test_likeness_is_exact(spark):
     rows = [("1", "a b c d e", "a b c d e"), ("2", "a b c d e", "A-b_c d f"), ("3", "x", "x"), ("4", "x y", "x y"), ("5", "x y", "y x"), ("6", "é ß ü", "É SS Ü")]
     df = spark.createDataFrame(rows, "id string, a string, b string").select("id", likeness.words(F.col("a")).alias("words_a"), likeness.words(F.col("b")).alias("words_b"))
@@ -89,45 +101,116 @@ def test_likeness_is_exact(spark):
     assert got == {"1": 1.0, "2": 0.5, "3": 1.0, "4": 1.0, "5": 0.0, "6": 1.0}
 
 
-def test_batch_duplicates(spark):
+@pytest.mark.parametrize(("hot_range", "links"), [(2_000, 10_000), (3, 10_000), (3, 2)])
+def test_batch_duplicates(spark, monkeypatch, hot_range, links):
+    monkeypatch.setattr(batch_history, "HOT_RANGE", hot_range)
+    monkeypatch.setattr(batch_history, "COMPONENT_LINKS", links)
     day = lambda n: None if n is None else datetime.datetime(2026, 2, 25) + datetime.timedelta(days=n)
     a = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, day(0), a), (2, day(1), a.upper()), (3, day(9), a + " more"), (4, day(9), "another text of some words"), (5, day(10), "another text, of some words"), (6, day(8), None), (7, None, a), (8, day(8), ""), (9, day(11), "x"), (10, day(12), "X!"), (None, day(9), a), (3, day(9), a + " more"), (11, day(13), LONG), (12, day(14), LONG + " z")]
     rows += [(100 + i, day(20 + i), " ".join(f"w{k}" for k in range(i, i + 30))) for i in range(12)]  # a chain: acceptance depends on the order
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "cache_id bigint, created_at timestamp_ntz, content string, turn string, node int")
-    found = batch_history.found_pairs(batch_history.batch_duplicates(df, df, "2026-03-01 00:00:00"))
+    found = batch_history.found_pairs(batch_history.batch_duplicates(df, "2026-03-01 00:00:00"))
     want = brute.p2(list(dict.fromkeys(rows)), datetime.datetime(2026, 3, 1))
     assert {tuple(r) for r in found.collect()} == want and (1, 3) in want and (9, 10) in want
 
 
-def test_history_goes_on_batch_by_batch(spark, sf):
+def test_history_goes_on_batch_by_batch(spark, sf, monkeypatch):
     """Batches checked one after the other, by a history that is opened again each time, give what one check gives."""
     jobs = spark.read.parquet(f"{sf}/ingestion_job.parquet")
     texts = spark.read.parquet(f"{sf}/embedding_cache.parquet").select("cache_id", "job_id", "content")
     rows = batch_history.with_job_time(texts, jobs)
-    borders = ["2026-03-01 00:00:00", "2026-05-01 00:00:00", "2027-01-01 00:00:00"]
+    monkeypatch.setattr(batch_history, "MERGE_RUNS", 2)  # so the last batch reads a merged run
+    monkeypatch.setattr(batch_history, "BUCKET_CLASSES", 16)
+    monkeypatch.setattr(batch_history, "SLOT_CLASSES", 16)
+    borders = ["2026-03-01 00:00:00", "2026-05-01 00:00:00", "2026-06-01 00:00:00", "2027-01-01 00:00:00"]
     at = F.col("job_created_at")
     path = batch_history.AcceptedHistory(spark).path
     batch_history.AcceptedHistory(spark, path).accept_all(rows.where(at < borders[0]), "cache_id", "job_created_at", "content")
     found = set()
     for lo, hi in zip(borders, borders[1:]):
         history = batch_history.AcceptedHistory(spark, path)
-        found |= {tuple(r) for r in history.check(rows.where((at >= lo) & (at < hi)), texts, "cache_id", "job_created_at", "content").collect()}
-        history.forest.merge_runs() if hi == borders[-1] else None
-    whole = batch_history.batch_duplicates(rows, texts, borders[0], at="job_created_at")
+        found |= {tuple(r) for r in history.check(rows.where((at >= lo) & (at < hi)), "cache_id", "job_created_at", "content").collect()}
+    whole = batch_history.batch_duplicates(rows, borders[0], at="job_created_at")
     assert found == {tuple(r) for r in whole.collect()} and found
 
 
-def test_forest_runs_merge(spark):
-    df = spark.createDataFrame(_varied(40), "entry_id string, title string, content string").withColumn("text_hash", F.xxhash64("content"))
-    classes = near_duplicates.text_classes(likeness.with_signatures(df, "content", ("entry_id", "text_hash")), "entry_id")
-    forest = batch_history.HashForest(spark)
-    assert forest.read().count() == 0
-    forest.add_run(classes.where("node % 2 = 0"))
-    forest.add_run(classes.where("node % 2 <> 0"))
-    before = sorted(map(tuple, forest.read().collect()))
-    forest.merge_runs()
-    assert len(forest.runs()) == 1 and sorted(map(tuple, forest.read().collect())) == before and len(before) == classes.count() * batch_history.TREES
+def _history(spark, n, monkeypatch):
+    monkeypatch.setattr(batch_history, "BUCKET_CLASSES", 50)
+    monkeypatch.setattr(batch_history, "SLOT_CLASSES", 10)
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.xxhash64("id", F.lit(k)).cast("string")) for k in range(12)])
+    df = spark.range(n).select(F.col("id").alias("cache_id"), F.lit("2026-01-01").cast("timestamp_ntz").alias("at"), words.alias("content"))
+    history = batch_history.AcceptedHistory(spark)
+    history.accept_all(df, "cache_id", "at", "content")
+    return df, history
+
+
+def test_a_batch_reads_only_what_it_touches(spark, monkeypatch):
+    """A history of ten times as many texts costs a batch of two texts no more bytes of forest or texts."""
+    import os
+
+    def size(df):  # of the files that rows come from: the others are pruned by their partition
+        return sum(os.path.getsize("/" + r[0].split(":", 1)[-1].lstrip("/")) for r in df.select(F.input_file_name()).distinct().collect())
+
+    read = []
+    for n in (100, 800):
+        df, history = _history(spark, n, monkeypatch)
+        batch = df.where("cache_id < 2")
+        signed = likeness.with_signatures(batch, "content", ("cache_id",), short=True, with_words=True)
+        classes = near_duplicates.text_classes(signed, "cache_id", keep="words")
+        entries = batch_history.forest_entries(classes)
+        found = history.forest(entries)
+        met = batch_history.meet(entries.withColumn("node", F.col("node") + F.lit(7 << 50)), found, 3)
+        assert met.count() == 2 and found.count() < 40 * 200
+        assert "PartitionFilters: [bucket" in found._jdf.queryExecution().executedPlan().toString()
+        texts = history.of_nodes("texts", met.select(F.col("b").alias("node")))
+        assert texts.count() == 2 and "PartitionFilters: [slot" in texts._jdf.queryExecution().executedPlan().toString()
+        read.append(size(found))
+    assert read[1] <= 1.5 * read[0]
+
+
+def test_runs_merge_at_the_historys_path(spark, monkeypatch):
+    df, history = _history(spark, 60, monkeypatch)
+    for k in (1, 2):
+        history.accept_all(df.select((F.col("cache_id") + 100 * k).alias("cache_id"), "at", F.concat("content", F.lit(f" v{k}"))).toDF("cache_id", "at", "content"), "cache_id", "at", "content")
+    again = batch_history.AcceptedHistory(spark, history.path)
+    before = sorted(map(tuple, again.forest().collect()))
+    turn = "struct<at:timestamp_ntz,id:bigint>"
+    nodes = spark.createDataFrame(again.forest().select("node").distinct().collect())
+    rows = sorted(map(str, again.of_nodes("rows", nodes, turn).select("turn", "node").collect()))
+    assert len(again.runs()) == 3 and len(before) == 3 * 60 * batch_history.TREES and len(rows) == 180
+    spark.range(1).write.parquet(f"{history.path}/run-000003-000003-0-0-deadbeef/forest")  # of a job that failed
+    again.merge(again.runs()[1:], turn)
+    assert [(r.first, r.last) for r in batch_history.AcceptedHistory(spark, history.path).runs()] == [(0, 0), (1, 2)]
+    again.vacuum()
+    assert sorted(map(tuple, again.forest().collect())) == before
+    assert sorted(map(str, again.of_nodes("rows", nodes, turn).select("turn", "node").collect())) == rows
+
+
+def test_a_large_group_of_near_copies_is_not_paired_with_itself(spark, monkeypatch):
+    """600 near copies new in one batch: compared with the earliest of their ranges, not with each other."""
+    monkeypatch.setattr(batch_history, "HOT_RANGE", 50)
+    words = [f"w{k}" for k in range(80)]
+    rows = [(i, datetime.datetime(2026, 4, 1), " ".join(words[:j] + [f"own{i}"] + words[j + 1 :])) for i, j in ((i, 5 + i % 70) for i in range(600))]
+    df = spark.createDataFrame(rows, "cache_id bigint, created_at timestamp_ntz, content string")
+    compared = []
+    real = batch_history.compare
+    monkeypatch.setattr(batch_history, "compare", lambda pairs, *a: (compared.append(pairs.count()), real(pairs, *a))[1])
+    found = {tuple(r) for r in batch_history.found_pairs(batch_history.batch_duplicates(df, "2026-03-01 00:00:00")).collect()}
+    assert found == brute.p2(rows, datetime.datetime(2026, 3, 1)) and sum(compared) < 20 * len(rows)
+
+
+def test_long_chains_are_decided(spark):
+    """A chain of 500 links is decided in its component, and so is one that hangs on a decided node."""
+    links = [(i + 1, i) for i in range(500)] + [(1000, 0), (1001, 1000), (1002, 1001)]
+    earlier = spark.createDataFrame(links, "node bigint, before bigint")
+    nodes = earlier.select("node").union(earlier.select("before"))
+    for small in (10_000, 1):
+        if small == 1:
+            earlier, nodes = earlier.where("node < 30"), nodes.where("node < 30")
+        got = {r.node: r.accepted for r in batch_history.first_accepted(nodes, earlier, rounds=3, small=small).collect()}
+        assert all(got[i] == (i % 2 == 0) for i in got if i < 1000)
+        assert small == 1 or (got[1000], got[1001], got[1002]) == (False, True, False)
 
 
 def test_forest_meets_pairs_at_the_threshold(spark):
@@ -138,8 +221,8 @@ def test_forest_meets_pairs_at_the_threshold(spark):
     df = spark.range(n).withColumnRenamed("id", "pair").select("pair", F.explode(F.array(*texts)).alias("content"))
     signed = likeness.with_signatures(df.withColumn("text_hash", F.xxhash64("content")), "content", ("pair", "text_hash"))
     classes = near_duplicates.text_classes(signed, "pair")
-    entries = batch_history.forest_entries(classes)
-    met = batch_history.meet(entries, entries.limit(0), batch_history.prefix_length())
+    entries = batch_history.forest_entries(classes).select("*", F.lit(True).alias("open"), F.lit(False).alias("known"))
+    met = batch_history.meet_within(entries, batch_history.prefix_length())
     pair = classes.select("node", F.col("first").alias("pair"))
     same = met.join(pair.toDF("a", "pair"), "a").join(pair.toDF("b", "pair_b"), "b").where("pair = pair_b")
     assert same.select("pair").distinct().count() == n
@@ -159,13 +242,23 @@ def test_boilerplate(spark):
     df = spark.createDataFrame([(*r, "clash", 0) for r in rows], "id string, library_id string, content string, indexed_at timestamp_ntz, lines string, lines_removed int")
     docs = boilerplate.prepared_documents(df)
     nodes = boilerplate.repeated_lines(docs)
-    found = boilerplate.repeated_occurrences(docs, nodes)
-    assert {tuple(r) for r in found.collect()} == brute.p3(rows) == {(f"d{i}", k) for i in range(12) for k in (1, 2, 3)}
-    blocks = boilerplate.boilerplate_blocks(nodes, boilerplate.repeated_edges(docs, nodes)).collect()
-    assert len(blocks) == 2 and len({b.block for b in blocks}) == 1
-    clean = {r.id: (r.content, r.lines_removed) for r in boilerplate.remove_lines(df, found).collect() if r.id is not None}
-    assert clean["d3"] == ("text 3 of it all\r", 3) and clean["e"] == (None, 0) and clean["b1"] == (note, 0)
-
+    blocks = boilerplate.library_blocks(docs)
+    found = boilerplate.block_occurrences(docs, blocks)
+    assert {(r.id, r.line_no) for r in found.collect()} == brute.p3(rows) == {(f"d{i}", k) for i in range(12) for k in (1, 2, 3)}
+    assert blocks.count() == 2 and len({r.block for r in found.collect()}) == 1  # consecutive lines are one block
+    alone = boilerplate.boilerplate_blocks(nodes, boilerplate.repeated_edges(docs, nodes).limit(0))
+    assert len({r.block for r in boilerplate.block_occurrences(docs, alone).collect()}) == 2  # and aren't without edges
+    assert boilerplate.block_occurrences(docs, blocks.limit(0)).isEmpty()
+    clean = {r.id: (r.content, r.lines_removed) for r in boilerplate.remove_blocks(df, blocks).collect() if r.id is not None}
+    assert clean["d3"] == ("text 3 of it all\r", 3) and clean["e"] == (None, 0) and clean["b1"] == (note, 0) and clean["n"] == (note, 0) and clean["f"] == ("", 0)
+
+
+def test_an_older_row_of_an_id_loses_only_its_own_boilerplate(spark):
+    t, note = datetime.datetime(2026, 1, 1), "Copyright by all the authors"
+    rows = [(f"d{i}", "/a", f"{note}\nsome text {i}", t) for i in range(12)] + [("d0", "/a", f"first line kept\n{note}\nlast", datetime.datetime(2025, 1, 1))]
+    df = spark.createDataFrame(rows, "id string, library_id string, content string, indexed_at timestamp_ntz")
+    blocks = boilerplate.library_blocks(boilerplate.prepared_documents(df))
+    assert {r.content for r in boilerplate.remove_blocks(df, blocks).where("id = 'd0'").collect()} == {"some text 0", "first line kept\nlast"}
 
 def test_token_counts_only_encode_what_is_new(spark):
     counts = token_budget.CountTable(spark, tokenizer.Vocabulary(spark))
@@ -217,12 +310,44 @@ def test_offsets_cover_split_characters(spark):
     vocabulary = tokenizer.Vocabulary(spark)
     text = "hi 🧪 ok"
     ids = vocabulary.tokenizer().encode(text, add_special_tokens=False).ids
-    offsets = tokenizer.token_offsets(vocabulary.token_bytes(), text, ids)
+    width = np.array([len(x) for x in vocabulary.token_bytes()])
+    offsets = list(zip(*map(np.ndarray.tolist, tokenizer.token_offsets(width, text, ids))))
     assert offsets[0] == (0, 2) and offsets[-1] == (4, 7) and all(text[a:b] for a, b in offsets)
     assert tokenizer.decode_ids(vocabulary.token_bytes(), ids) == text
     assert "�" in tokenizer.decode_ids(vocabulary.token_bytes(), ids[: len(ids) - 2])
 
 
+def test_offsets_of_documents(spark):
+    texts = [None, "", "hi 🧪 ok", "日本語 <|endoftext|>", LONG]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] * 2, "doc_id bigint, text string, starts string")
+    found = tokenizer.covered_characters(tokenizer.offset_documents(df, tokenizer.Vocabulary(spark))).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in found) == sorted((i, len(t or "")) for i, t in enumerate(texts) for _ in range(2))
+
+
+def test_other_vocabularies_are_refused(spark):
+    with pytest.raises(ValueError, match="byte_bpe_multi_50k"):
+        tokenizer.Vocabulary(spark, "byte_bpe_multi_50k")
+
+
+def test_counts_of_other_files_are_not_reused(spark):
+    df = spark.createDataFrame([("hello world",)], "content string")
+    counts = token_budget.CountTable(spark, tokenizer.Vocabulary(spark))
+    counts.refresh(df, "content")
+    changed = tokenizer.Vocabulary(spark)
+    changed.version = "byte_bpe_50k:another"
+    again = token_budget.CountTable(spark, changed, counts.path)
+    assert again.read().isEmpty()
+    again.refresh(df, "content")
+    assert again.read().count() == counts.read().count() == 1
+
+
+def test_a_repeated_text_is_encoded_once_by_a_task(spark, tmp_path):
+    vocabulary = tokenizer.Vocabulary(spark)
+    df = spark.createDataFrame([(i, LONG if i % 3 else f"text {i}") for i in range(300)], "doc_id int, text string").coalesce(1)
+    found = {r.doc_id: r.n_tokens for r in tokenizer.token_counts(df, vocabulary, "text", ("doc_id",)).collect()}  # 200 * 1.7 MB, one encoding
+    assert len(found) == 300 and len({n for i, n in found.items() if i % 3}) == 1
+
+
 def test_packing_ties_hot_lengths_and_empty_documents(spark):
     sizes = [(i, 0) for i in range(30)] + [(100 + i, 7) for i in range(40)] + [(200, 25), (201, 10), (202, 3), (203, None), (None, 5), (204, 10), (204, 10)]
     df = spark.createDataFrame([(*r, "clash") for r in sizes], "doc_id bigint, n_tokens bigint, container_id string")
@@ -235,10 +360,17 @@ def test_packing_ties_hot_lengths_and_empty_documents(spark):
     assert max(sum(r.length for r in v) for v in used.values()) <= 10
     assert [r.length for r in sorted((r for r in got if r.doc_id == 200), key=lambda r: r.piece_no)] == [10, 10, 5]
     assert all(r.container_id is None for r in got if r.length == 0) and sum(r.length == 0 for r in got) == 31
+    assert [r.doc_id for r in packing.split_documents(packing.pack(df, capacity=10)).collect()] == [200]
     fill = {r.container_id: r.unused for r in packing.container_fill(packing.pack(df, capacity=10), 10).collect()}
     assert len(fill) == len(used) and min(fill.values()) >= 0
 
 
+def test_split_documents_come_from_planned_slots(spark, monkeypatch):
+    monkeypatch.setattr(packing, "plan_slots", lambda *a: [])
+    df = spark.createDataFrame([(1, 25), (2, 3)], "doc_id bigint, n_tokens bigint")
+    assert packing.split_documents(packing.pack(df, capacity=10)).isEmpty()
+
+
 def test_plan_is_best_fit_over_counts():
     rng = np.random.default_rng(3)
     histogram = {int(k): int(n) for k, n in zip(range(1, 2049), rng.integers(0, 50, 2048))}
@@ -325,11 +457,11 @@ def test_empty_tables(spark, kind):
         assert near_duplicates.groups_found(near_duplicates.near_duplicate_groups(df)).count() == 0
     elif kind == "cache":
         df = spark.createDataFrame([], "cache_id bigint, created_at timestamp_ntz, content string")
-        assert batch_history.batch_duplicates(df, df, "2026-03-01 00:00:00").count() == 0
+        assert batch_history.batch_duplicates(df, "2026-03-01 00:00:00").count() == 0
     elif kind == "embedding":
         df = spark.createDataFrame([], "id string, library_id string, content string, indexed_at timestamp_ntz")
         docs = boilerplate.prepared_documents(df)
-        assert boilerplate.repeated_occurrences(docs, boilerplate.repeated_lines(docs)).count() == 0
+        assert boilerplate.block_occurrences(docs, boilerplate.library_blocks(docs)).count() == 0
         counts = token_budget.CountTable(spark, tokenizer.Vocabulary(spark))
         counts.refresh(df, "content")
         assert counts.read().count() == 0

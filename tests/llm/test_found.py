@@ -31,6 +31,11 @@ def test_p2(spark, sf, rows):
     assert got(spark, sf, "p2_found") == brute.p2(cache, datetime.datetime(2026, 3, 1))
 
 
+def test_p2_recall(spark, sf):
+    found = {r.prefix_length: r for r in entry.p2_recall(spark, sf).collect()}
+    assert sorted(found) == [1, 2, 3, 4] and found[3].recall == found[1].recall == 1 and found[4].recall > 0.9 and found[3].pairs > 100
+
+
 def test_p3(spark, sf, rows):
     assert got(spark, sf, "p3_found") == brute.p3(rows("document_embedding", "id", "library_id", "content", "indexed_at"))
 
@@ -59,6 +64,12 @@ def test_p4(spark, sf, rows, whole_ids):
     assert got(spark, sf, "p4_found") == want
 
 
+def test_p4_update_keeps_the_cube(spark, sf):
+    """Documents came, changed and went, and the cells kept by deltas are those counted afresh."""
+    found = entry.p4_update(spark, sf).collect()
+    assert found and all(r.token_drift == 0 for r in found) and all(r.documents > 0 for r in found)
+
+
 def test_p6_and_p7(spark, sf, rows, whole_ids):
     docs = rows("documents", "doc_id", "text")
     want = dict(zip([i for i, _ in docs], whole_ids([t or "" for _, t in docs])))
@@ -86,5 +97,5 @@ def test_p8_agrees_with_the_labels(spark):
 
 
 def test_every_query_has_stable_columns(spark, sf):
-    for name in ("p1_copies", "p3_blocks", "p3_clean", "p4_budget", "p8_totals"):
+    for name in ("p1_copies", "p3_blocks", "p4_budget", "p6_offsets", "p8_totals"):
         assert entry.queries()[name](spark, sf).limit(1).columns

@@ -137,8 +137,19 @@ def p8_totals(spark: SparkSession, d: str) -> DataFrame:
     return out.select("subject_id", "subject", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("sentences", F.lit(0)).alias("sentences"))
 
 
+def p8_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The top terms of every topic, and the subject that it is mapped to by them."""
+    areas = table(spark, d, "subject_area")
+    _, _, models, mapped, ids = subjects.mapped_topics(table(spark, d, "documents"), areas, table(spark, d, "subject_label"))
+    return subjects.topic_terms(models, mapped, areas, ids)
+
+
+def p8_held_out(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.held_out_agreement(table(spark, d, "documents"), table(spark, d, "subject_area"), table(spark, d, "subject_label"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_copies, p2_found, p2_recall, p3_found, p3_blocks, p3_clean, p4_found, p4_budget, p4_update, p5_found, p6_ids, p6_offsets, p6_covered, p6_round_trip, p7_found, p7_slots, p8_found, p8_totals)
+    named = (p1_found, p1_copies, p2_found, p2_recall, p3_found, p3_blocks, p3_clean, p4_found, p4_budget, p4_update, p5_found, p6_ids, p6_offsets, p6_covered, p6_round_trip, p7_found, p7_slots, p8_found, p8_totals, p8_topics, p8_held_out)
     return {f.__name__: f for f in named}
 
 

@@ -2,9 +2,13 @@
 
 Terms of a document are words of its prose (code is left out), pairs of Han characters and runs of katakana. Terms that
 are rare, or common within a language and as common in documents of any subject, say nothing about a subject; document
-frequencies are counted over all documents, the evenness of common terms over the hand-labelled ones. A topic model is fitted to all documents of each language. Topics are mapped to
-subjects through their terms: a topic belongs to the subject with whose hand-labelled documents its terms go most. A
-document is assigned a subject when enough of its terms, and those of more than one sentence, fall to topics of it.
+frequencies are counted over all documents, the evenness of common terms over the hand-labelled ones.
+
+A topic model is fitted to all documents of each language, by stochastic collapsed variational inference: minibatches are
+disjoint parts of the documents, so each pass sees every one of them; tasks infer the topics of a part, Spark sums what
+they give each topic, and the driver moves the model by it. Topics are mapped to subjects through their top terms: what
+hand-labelled documents say of these, by their weight in the topic. A document is assigned the subjects that its topic
+proportions hold a share of, if terms of more than one sentence speak for them.
 """
 
 from __future__ import annotations
@@ -15,14 +19,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillgrid.plans.materialize import materialize
 
 TOPICS = 24
-ITERATIONS = 20
+#: Steps of the fit; a step takes one of at most PARTS disjoint parts of a language's documents, of at least PART_DOCUMENTS
+#: where it has so many, so every document is seen in STEPS / PARTS steps or more.
+STEPS, PARTS, PART_DOCUMENTS = 30, 10, 200
+#: Priors of topics in documents and of terms in topics; a step's weight is (offset + step) ** -decay.
+DOCUMENT_PRIOR, TERM_PRIOR, OFFSET, DECAY = 0.1, 0.02, 10.0, 0.51
+#: Terms of a topic that are inspected for its subject.
+TOP_TERMS = 30
+#: Share of a document's topic proportions that a subject must hold.
+LEAST_PROPORTION = 0.02
 #: A term is kept from this share of the documents of any language on; beyond this share of a language's it is common.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.12
 #: A common term is kept as a subject's own if in labelled documents of one subject it is so many times as frequent as in
@@ -33,8 +44,9 @@ LEAST_DOCUMENTS, SHARED = 30, ""
 #: Share of a term's weight that must lie in topics of one subject for the term to speak for it.
 SPECIFIC = 0.5
 LEAST_SENTENCES = 2
-#: So many labelled documents with a term count as much as the topics that hold it.
-TRUST = 6.0
+#: The topics that hold a term count as much as this many times the labelled documents that a term of its language has
+#: in the median, so that more labels don't drown the topics.
+TRUST = 0.5
 _BREAK = "\n"
 
 
@@ -223,26 +235,65 @@ def modelled_terms(terms: DataFrame, words: Vocabulary) -> DataFrame:
     return terms.mapInArrow(run, f"doc_id {kind}, lang string, terms array<string>, numbers array<int>, sentence_of array<int>")
 
 
-def fit_topics(documents: DataFrame, words: Vocabulary, topics: int = TOPICS, iterations: int = ITERATIONS, seed: int = 11) -> dict[str, tuple[list[str], np.ndarray]]:
-    """For each language its terms and the weights [topics, terms] of a topic model of all its documents.
+def first_models(documents: DataFrame, words: Vocabulary, topics: int, seed: int) -> dict[str, tuple[list[str], np.ndarray]]:
+    """For each language with terms these and nearly even weights [topics, terms]."""
+    here: dict[str, list[str]] = {}
+    found = documents.where(F.size("terms") > 0).select("lang", F.explode("terms").alias("t")).distinct()
+    for r in sorted(map(tuple, found.collect())):  # a part of the vocabulary for each language
+        here.setdefault(r[0], []).append(r[1])
+    rng = np.random.default_rng(seed)
+    return {k: (here[k], rng.gamma(100.0, 0.01, (topics, len(here[k])))) for k in sorted(words.documents) if k in here}
 
-    Online variational Bayes in minibatches that together see each document about once, and at least 200 documents
-    each; a model holds topics * terms numbers, whatever the number of documents.
-    """
-    out = {}
-    for lang, n in sorted(words.documents.items()):
-        own = documents.where((F.col("lang") == lang) & (F.size("terms") > 1))
-        here = sorted(r["t"] for r in own.select(F.explode("terms").alias("t")).distinct().collect())  # a part of the vocabulary
-        if not here:
-            continue
-        vectors = CountVectorizerModel.from_vocabulary(here, inputCol="terms", outputCol="features").transform(own.select("terms")).select("features")
-        share = min(1.0, max(1.0 / iterations, 200 / n))
-        lda = LDA(k=topics, maxIter=iterations, optimizer="online", subsamplingRate=share, learningOffset=10.0, docConcentration=[0.1] * topics, topicConcentration=0.02, seed=seed)
-        out[lang] = (here, np.asarray(lda.fit(vectors).topicsMatrix().toArray()).T)
-    return out
 
+def fit_topics(documents: DataFrame, words: Vocabulary, topics: int = TOPICS, steps: int = STEPS, seed: int = 11) -> dict[str, tuple[list[str], np.ndarray]]:
+    """For each language its terms and the weights [topics, terms] of a topic model of all its documents.
 
-def infer(weights: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, rounds: int = 15, prior: float = 0.1, still: float = 0.002) -> np.ndarray:
+    All languages are fitted by the same jobs, one for each step. A model holds topics * terms numbers, whatever the
+    number of documents; what tasks give to it is summed in two levels before it reaches the driver.
+    """
+    spark = documents.sparkSession
+    models = first_models(documents, words, topics, seed)
+    lookup = _lookups(models, words.kept)
+    parts = {k: max(1, min(PARTS, words.documents[k] // PART_DOCUMENTS)) for k in models}
+    spread = F.lit(1)
+    for k, n in parts.items():
+        spread = F.when(F.col("lang") == k, n).otherwise(spread)
+    parted = documents.select("lang", "numbers", "sentence_of", spread.alias("parts"), F.xxhash64("doc_id").alias("h"))
+    schema = "lang string, grp int, n bigint, stats binary"
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, "<f4") for x in pdf["stats"]], axis=0, dtype=np.float64)
+        return pd.DataFrame({"lang": [key[0]], "grp": [0], "n": [pdf["n"].sum()], "stats": [total.astype("<f4").tobytes()]})
+
+    for step in range(steps):
+        current = spark.sparkContext.broadcast((models, lookup))  # topics * terms numbers for each language
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, columns_of = current.value
+            total = {k: np.zeros((w.shape[1], w.shape[0])) for k, (_, w) in own.items()}
+            n = dict.fromkeys(own, 0)
+            for batch in batches:
+                for lang, docs, _, columns, share, _ in _inferred(batch, own, columns_of, TERM_PRIOR):
+                    order = np.argsort(columns, kind="stable")
+                    at = np.flatnonzero(np.diff(columns[order], prepend=-1))
+                    total[lang][columns[order][at]] += np.add.reduceat(share[order], at, axis=0)
+                    n[lang] += len(docs)
+            seen = [k for k in own if n[k]]
+            group = sum(n.values()) % 16
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([group] * len(seen), pa.int32()), pa.array([n[k] for k in seen], pa.int64()), pa.array([total[k].T.astype("<f4").tobytes() for k in seen], pa.binary())], names=["lang", "grp", "n", "stats"])
+
+        part = parted.where(F.pmod("h", "parts") == F.lit(step) % F.col("parts")).select("lang", "numbers", "sentence_of").mapInArrow(run, schema)
+        weight, after = (OFFSET + step) ** -DECAY, dict(models)
+        for r in part.groupBy("lang", "grp").applyInPandas(add, schema).groupBy("lang").applyInPandas(add, schema).collect():  # one row a language
+            names, old = models[r["lang"]]
+            stats = np.frombuffer(r["stats"], "<f4").reshape(old.shape).astype(np.float64)
+            after[r["lang"]] = names, (1 - weight) * old + weight * stats * (words.documents[r["lang"]] / r["n"])
+        models = after
+        current.unpersist()
+    return {k: (names, w + TERM_PRIOR) for k, (names, w) in models.items()}
+
+
+def infer(weights: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, rounds: int = 15, prior: float = DOCUMENT_PRIOR, still: float = 0.002) -> np.ndarray:
     """The share of each term of some documents that falls to each topic, [terms, topics].
 
     Proportions of topics and shares of terms are found in turn until the proportions change no more by ``still``.
@@ -263,7 +314,7 @@ def infer(weights: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, ro
     return share
 
 
-def _inferred(batch: pa.RecordBatch, models: dict, lookup: dict) -> Iterator[tuple]:
+def _inferred(batch: pa.RecordBatch, models: dict, lookup: dict, smooth: float = 0.0) -> Iterator[tuple]:
     """(lang, documents of the batch, document of each term by its place in these, column of each term, its shares, its
     sentence), language by language."""
     langs = np.array(batch.column("lang").to_pylist(), dtype=object)
@@ -275,7 +326,7 @@ def _inferred(batch: pa.RecordBatch, models: dict, lookup: dict) -> Iterator[tup
         good = columns >= 0
         if good.any():
             docs, rows = np.unique(doc_of[good], return_inverse=True)
-            yield lang, docs.tolist(), rows, columns[good], infer(models[lang][1], columns[good], rows, len(docs)), sentence[good]
+            yield lang, docs.tolist(), rows, columns[good], infer(models[lang][1] + smooth, columns[good], rows, len(docs)), sentence[good]
 
 
 def _lookups(models: dict, kept: list[str]) -> dict[str, np.ndarray]:
@@ -288,59 +339,40 @@ def _lookups(models: dict, kept: list[str]) -> dict[str, np.ndarray]:
     return out
 
 
-def labelled_weights(documents: DataFrame, models: dict, kept: list[str], labels: DataFrame, subjects: list[int]) -> tuple[dict, dict]:
-    """How subjects given by hand go with topics and with terms: for each language [topics, subjects] and
-    [terms, subjects].
+def labelled_terms(documents: DataFrame, models: dict, kept: list[str], labels: DataFrame, subjects: list[int]) -> dict[str, np.ndarray]:
+    """How subjects given by hand go with terms: for each language [terms, subjects].
 
-    A labelled document spreads one unit over its topics and adds one to each of its terms, shared between its
-    subjects; repeated labels count once. What reaches the driver is bounded by topics and terms times subjects.
+    A labelled document adds one to each of its terms, shared between its subjects; repeated labels count once. What
+    reaches the driver is bounded by terms times subjects.
     """
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((models, _lookups(models, kept)))
+    lookup = _lookups(models, kept)
     given = _given(labels).groupBy("doc_id").agg(F.collect_set("subject_id").alias("subject_ids"))
     order = {x: i for i, x in enumerate(subjects)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, lookup = shared.value
-        for batch in batches:
-            ids = batch.column("subject_ids").to_pylist()
-            out: Counter = Counter()
-            for lang, docs, rows, columns, share, _ in _inferred(batch, own, lookup):
-                mass = np.zeros((len(docs), share.shape[1]))
-                np.add.at(mass, rows, share)
-                mass /= mass.sum(1, keepdims=True)
-                for k, column in {*zip(rows.tolist(), columns.tolist())}:
-                    for s in ids[docs[k]]:
-                        out[lang, "term", column, s] += 1 / len(ids[docs[k]])
-                for k, i in enumerate(docs):
-                    for s in ids[i]:
-                        for topic, m in enumerate(mass[k].tolist()):
-                            out[lang, "topic", topic, s] += m / len(ids[i])
-            keys = list(out)
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keys], t) for j, t in enumerate(kinds)] + [pa.array([out[k] for k in keys], pa.float64())], names=["lang", "kind", "number", "subject", "w"])
-
-    found = documents.join(given, "doc_id").select("lang", "numbers", "sentence_of", "subject_ids").mapInArrow(run, "lang string, kind string, number int, subject int, w double")
-    topics = {k: np.zeros((v[1].shape[0], len(subjects))) for k, v in models.items()}
+    own = documents.join(given, "doc_id").select("lang", F.explode(F.array_distinct("numbers")).alias("number"), "subject_ids")
+    found = own.select("lang", "number", F.explode("subject_ids").alias("subject"), (1 / F.size("subject_ids")).alias("w")).groupBy("lang", "number", "subject").agg(F.sum("w").alias("w"))
     terms = {k: np.zeros((v[1].shape[1], len(subjects))) for k, v in models.items()}
-    for r in found.groupBy("lang", "kind", "number", "subject").agg(F.sum("w").alias("w")).collect():
-        if r["subject"] in order:
-            (topics if r["kind"] == "topic" else terms)[r["lang"]][r["number"], order[r["subject"]]] += r["w"]
-    return topics, terms
+    for r in found.collect():
+        if r["subject"] in order and r["lang"] in terms:
+            terms[r["lang"]][lookup[r["lang"]][r["number"]], order[r["subject"]]] += r["w"]
+    return terms
 
 
-def lend_terms(models: dict, topics: dict, terms: dict) -> None:
-    """Add to the shared model, for its terms and the topics that hold them, what labelled documents of the other
-    languages say of these terms."""
+def lend_terms(models: dict, terms: dict) -> None:
+    """Add to the shared model, for its terms, what labelled documents of the other languages say of them."""
     if SHARED not in models:
         return
-    names, weights = models[SHARED]
-    column, lent = {t: i for i, t in enumerate(names)}, np.zeros_like(terms[SHARED])
+    column, lent = {t: i for i, t in enumerate(models[SHARED][0])}, np.zeros_like(terms[SHARED])
     for lang in models.keys() - {SHARED}:
         there = [i for i, t in enumerate(models[lang][0]) if t in column]
         lent[[column[models[lang][0][i]] for i in there]] += terms[lang][there]
     terms[SHARED] += lent
-    topics[SHARED] += (weights / weights.sum(1, keepdims=True)) @ lent
+
+
+def top_terms(weights: np.ndarray, n: int = TOP_TERMS) -> np.ndarray:
+    """The shares [topics, terms] of the ``n`` heaviest terms of each topic, 0 for the others; ties stay together."""
+    share = weights / weights.sum(1, keepdims=True)
+    least = np.sort(share, axis=1)[:, -min(n, share.shape[1])][:, None]
+    return np.where(share >= least, share, 0.0)
 
 
 def _even(a: np.ndarray) -> np.ndarray:
@@ -349,28 +381,31 @@ def _even(a: np.ndarray) -> np.ndarray:
     return a / np.maximum(a.sum(1, keepdims=True), 1e-9)
 
 
-def map_topics(models: dict, topics: dict, terms: dict, trust: float = TRUST) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def map_topics(models: dict, terms: dict, trust: float = TRUST) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """For each language the subjects of topics [topics, subjects] and of terms [terms, subjects], in shares.
 
-    A term has the subjects of the topics that hold its weight; the labelled documents that have the term speak too,
-    the more the more of them there are (``trust`` of them count as much as the topics), which parts topics in which
-    two subjects have met.
+    A topic has the subjects of its top terms, by their weight in it. A term has the subjects of the topics that hold
+    its weight; the labelled documents that have the term speak too, the more the more of them there are, which parts
+    topics in which two subjects have met.
     """
     out = {}
     for lang, (_, weights) in models.items():
-        of_topic = _even(topics[lang])
+        even, seen = _even(terms[lang]), terms[lang].sum(1, keepdims=True)
+        of_topic = top_terms(weights) @ even
+        of_topic /= np.maximum(of_topic.sum(1, keepdims=True), 1e-9)
         by_topic = (weights / weights.sum(0, keepdims=True)).T @ of_topic
-        seen = terms[lang].sum(1, keepdims=True)
-        out[lang] = of_topic, (trust * by_topic + seen * _even(terms[lang])) / (trust + seen)
+        k = trust * (float(np.median(seen[seen > 0])) if (seen > 0).any() else 1.0)
+        out[lang] = of_topic, (k * by_topic + seen * even) / (k + seen)
     return out
 
 
-def assign_subjects(documents: DataFrame, models: dict, kept: list[str], mapped: dict, subjects: list[int], specific: float = SPECIFIC, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
-    """(doc_id, subject_id, sentences, share): subjects that terms of enough sentences of a document speak for.
+def assign_subjects(documents: DataFrame, models: dict, kept: list[str], mapped: dict, subjects: list[int], specific: float = SPECIFIC, least_sentences: int = LEAST_SENTENCES, least_proportion: float = LEAST_PROPORTION) -> DataFrame:
+    """(doc_id, subject_id, sentences, share): subjects that hold enough of a document's topic proportions, and for which
+    terms of enough of its sentences speak.
 
-    A term speaks for a subject when it is specific to one at all and when the topics it falls to in this document and
-    its own subjects together point there. ``share`` is that part of all sentences that speak. A document in which no
-    subject has enough sentences has no row.
+    ``share`` is the subject's part of the topic proportions. A term speaks for a subject when it is specific to one at
+    all and when the topics it falls to in this document and its own subjects together point there. A document without
+    such a subject has no row.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast((models, _lookups(models, kept), mapped))
@@ -387,23 +422,54 @@ def assign_subjects(documents: DataFrame, models: dict, kept: list[str], mapped:
                 clear = (here.max(1) >= specific) & (of_term[columns].max(1) >= specific * 0.8)
                 speaks = np.unique(np.stack([rows[clear], here[clear].argmax(1), sentence[clear]], 1), axis=0)
                 pair, count = np.unique(speaks[:, :2], axis=0, return_counts=True)
-                total = np.bincount(pair[:, 0], count, minlength=len(docs)) if len(pair) else np.zeros(len(docs))
+                proportions = np.zeros((len(docs), of_topic.shape[1]))
+                begin = np.flatnonzero(np.diff(rows, prepend=-1))  # terms stand document by document
+                proportions[rows[begin]] = np.add.reduceat(share @ of_topic, begin, axis=0)
+                proportions /= np.maximum(proportions.sum(1, keepdims=True), 1e-9)
                 for (k, s), c in zip(pair, count):
-                    if c >= least_sentences:
-                        doc.append(docs[k]), subject.append(subjects[s]), many.append(int(c)), part.append(float(c / total[k]))
+                    if c >= least_sentences and proportions[k, s] >= least_proportion:
+                        doc.append(docs[k]), subject.append(subjects[s]), many.append(int(c)), part.append(float(proportions[k, s]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(subject, pa.int32()), pa.array(many, pa.int32()), pa.array(part, pa.float64())], names=["doc_id", "subject_id", "sentences", "share"])
 
     return documents.select("doc_id", "lang", "numbers", "sentence_of").mapInArrow(run, f"doc_id {kind}, subject_id int, sentences int, share double")
 
 
-def document_subjects(df: DataFrame, areas: DataFrame, labels: DataFrame, topics: int = TOPICS) -> DataFrame:
-    """(doc_id, subject_id, sentences, share) of every document of ``df`` (doc_id, text, lang)."""
+def topic_terms(models: dict, mapped: dict, areas: DataFrame, subjects: list[int], n: int = 10) -> DataFrame:
+    """(lang, topic, rank, term, weight, subject_id, subject_share): the heaviest terms of each topic and the subject that
+    it is mapped to with that subject's share; ties by term. At most languages * topics * n rows."""
+    rows = []
+    for lang, (names, weights) in models.items():
+        of_topic = mapped[lang][0]
+        for k, w in enumerate(weights / weights.sum(1, keepdims=True)):
+            best = int(of_topic[k].argmax()) if of_topic.shape[1] else -1
+            for rank, i in enumerate(sorted(range(len(names)), key=lambda i: (-w[i], names[i]))[:n], 1):
+                rows.append((lang, k, rank, names[i], float(w[i]), subjects[best] if best >= 0 else None, float(of_topic[k, best]) if best >= 0 else None))
+    return areas.sparkSession.createDataFrame(rows, "lang string, topic int, rank int, term string, weight double, subject_id int, subject_share double")
+
+
+def mapped_topics(df: DataFrame, areas: DataFrame, labels: DataFrame, topics: int = TOPICS) -> tuple:
+    """(documents, vocabulary, models, mapped, subjects): everything that documents are assigned by."""
     terms = materialize(document_terms(df), "terms")
     words = vocabulary(terms, labels=labels)
     documents = materialize(modelled_terms(terms, words), "modelled")
     models = fit_topics(documents, words, topics)
     subjects = sorted(r["subject_id"] for r in areas.where("subject_id is not null").select("subject_id").distinct().collect())  # a fixed table
-    topic_weights, term_weights = labelled_weights(documents, models, words.kept, labels, subjects)
-    lend_terms(models, topic_weights, term_weights)
-    mapped = map_topics(models, topic_weights, term_weights)
+    of_terms = labelled_terms(documents, models, words.kept, labels, subjects)
+    lend_terms(models, of_terms)
+    return documents, words, models, map_topics(models, of_terms), subjects
+
+
+def document_subjects(df: DataFrame, areas: DataFrame, labels: DataFrame, topics: int = TOPICS) -> DataFrame:
+    """(doc_id, subject_id, sentences, share) of every document of ``df`` (doc_id, text, lang)."""
+    documents, words, models, mapped, subjects = mapped_topics(df, areas, labels, topics)
     return assign_subjects(documents, models, words.kept, mapped, subjects)
+
+
+def held_out_agreement(df: DataFrame, areas: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """(labelled, found, both): hand-given pairs of the documents of one fold by id, pairs found for these documents with
+    the labels of the other folds only, and pairs in both. Labels may be wrong or missing, so neither share can be 1."""
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
+    held = _given(labels).where(fold)
+    found = document_subjects(df, areas, labels.where(~fold)).join(held.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "subject_id").distinct()
+    both = held.withColumn("l", F.lit(1)).join(found.withColumn("f", F.lit(1)), ["doc_id", "subject_id"], "full")
+    return both.agg(F.count("l").alias("labelled"), F.count("f").alias("found"), F.count(F.col("l") * F.col("f")).alias("both"))

@@ -428,6 +428,22 @@ def test_subject_of_a_third_of_all_documents(spark):
     assert set(words[0]) <= set(kept) and not set(fill) & set(kept)
 
 
+def test_every_document_is_in_the_fit(spark, monkeypatch):
+    """The parts of the steps are disjoint and together hold every document of a language, as often as each other."""
+    monkeypatch.setattr(subjects, "PART_DOCUMENTS", 10)
+    terms = spark.createDataFrame([(i, "en", [f"t{i}"], [i], [0]) for i in range(100)], "doc_id int, lang string, terms array<string>, numbers array<int>, sentence_of array<int>")
+    words = subjects.Vocabulary([f"t{i}" for i in range(100)], {"en": set()}, {"en": set()}, {"en": 100})
+    models = subjects.first_models(terms, words, 2, 1)
+    after = subjects.fit_topics(terms, words, topics=2, steps=10)
+    names = after["en"][0]
+    before = dict(zip(models["en"][0], models["en"][1].sum(0)))
+    seen = {t: w for t, w in zip(names, after["en"][1].sum(0))}
+    assert len(seen) == 100
+    # a term of a document that no part held would only shrink
+    shrunk = np.prod([1 - (subjects.OFFSET + k) ** -subjects.DECAY for k in range(10)])
+    assert all(seen[t] > before[t] * shrunk + 2 * subjects.TERM_PRIOR + 0.1 for t in seen)
+
+
 def test_terms_of_a_small_language_are_kept(spark):
     """A term in a tenth of 40 documents is kept, however many documents of other languages there are."""
     rows = [(i, "en", f"common w{i % 50}") for i in range(6000)] + [(10_000 + i, "fi", "sana" if i % 10 else "harva") for i in range(40)]

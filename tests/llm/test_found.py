@@ -33,7 +33,7 @@ def test_p2(spark, sf, rows):
 
 def test_p2_recall(spark, sf):
     found = {r.prefix_length: r for r in entry.p2_recall(spark, sf).collect()}
-    assert sorted(found) == [1, 2, 3, 4] and found[3].recall == found[1].recall == 1 and found[4].recall > 0.9 and found[3].pairs > 100
+    assert sorted(found) == [1, 2, 3, 4] and found[3].recall == found[1].recall == 1 and found[4].recall > 0.9 and found[3].pairs > 20
 
 
 def test_p3(spark, sf, rows):
@@ -87,13 +87,17 @@ def test_p6_and_p7(spark, sf, rows, whole_ids):
     assert all(r.piece_no == 0 for r in slots if r.n_tokens <= 2048)
 
 
-def test_p8_agrees_with_the_labels(spark):
-    """Held-out accuracy can't be had from noisy labels alone: most labelled pairs are found, most found ones are labelled."""
-    sf = "/root/testdata/sf0.01"
-    found = got(spark, sf, "p8_found")
-    given = {(r.doc_id, r.subject_id) for r in spark.read.parquet(f"{sf}/subject_label.parquet").collect()}
-    own = {p for p in found if p[0] in {d for d, _ in given}}
-    assert len(own & given) >= 0.6 * len(given) and len(own & given) >= 0.6 * len(own)
+def test_p8_agrees_with_held_out_labels(spark):
+    """Labels of a fifth of the labelled documents aren't used; some labels are wrong or missing (about a tenth)."""
+    r = entry.p8_held_out(spark, "/root/testdata/sf0.1").first()
+    assert r.labelled > 100 and r.both >= 0.85 * r.labelled and r.both >= 0.85 * r.found
+
+
+def test_p8_topics(spark):
+    """A topic's subject is that of its top terms."""
+    rows = entry.p8_topics(spark, "/root/testdata/sf0.01").where("lang = 'en'").collect()
+    assert {r.topic for r in rows} == set(range(24)) and all(0 < r["rank"] <= 10 for r in rows)
+    assert len({r.subject_id for r in rows}) >= 6
 
 
 def test_every_query_has_stable_columns(spark, sf):

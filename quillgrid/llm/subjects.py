@@ -22,12 +22,14 @@ import pyarrow as pa
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.plans.materialize import materialize
+from quillgrid.plans.materialize import materialize, scratch_path
 
 TOPICS = 24
 #: Steps of the fit; a step takes one of at most PARTS disjoint parts of a language's documents, of at least PART_DOCUMENTS
 #: where it has so many, so every document is seen in STEPS / PARTS steps or more.
-STEPS, PARTS, PART_DOCUMENTS = 30, 10, 200
+STEPS, PARTS, PART_DOCUMENTS = 20, 10, 200
+#: Rounds of inference for a document in a step of the fit; it is met again in later steps, under a better model.
+FIT_ROUNDS = 5
 #: Priors of topics in documents and of terms in topics; a step's weight is (offset + step) ** -decay.
 DOCUMENT_PRIOR, TERM_PRIOR, OFFSET, DECAY = 0.1, 0.02, 10.0, 0.51
 #: Terms of a topic that are inspected for its subject.
@@ -258,7 +260,11 @@ def fit_topics(documents: DataFrame, words: Vocabulary, topics: int = TOPICS, st
     spread = F.lit(1)
     for k, n in parts.items():
         spread = F.when(F.col("lang") == k, n).otherwise(spread)
-    parted = documents.select("lang", "numbers", "sentence_of", spread.alias("parts"), F.xxhash64("doc_id").alias("h"))
+    # written by part, so a step reads its own part only; every number of parts up to PARTS divides them evenly enough
+    shuffled = documents.select("lang", F.array_sort("numbers").alias("numbers"), F.pmod(F.xxhash64("doc_id"), spread).cast("int").alias("part"), spread.alias("parts"))
+    path = scratch_path(spark, "parts")
+    shuffled.write.partitionBy("parts", "part").parquet(path)
+    parted = spark.read.schema("lang string, numbers array<int>, parts int, part int").parquet(path)
     schema = "lang string, grp int, n bigint, stats binary"
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -273,16 +279,17 @@ def fit_topics(documents: DataFrame, words: Vocabulary, topics: int = TOPICS, st
             total = {k: np.zeros((w.shape[1], w.shape[0])) for k, (_, w) in own.items()}
             n = dict.fromkeys(own, 0)
             for batch in batches:
-                for lang, docs, _, columns, share, _ in _inferred(batch, own, columns_of, TERM_PRIOR):
+                for lang, columns, share, seen in _inferred_bags(batch, own, columns_of):
                     order = np.argsort(columns, kind="stable")
                     at = np.flatnonzero(np.diff(columns[order], prepend=-1))
                     total[lang][columns[order][at]] += np.add.reduceat(share[order], at, axis=0)
-                    n[lang] += len(docs)
+                    n[lang] += seen
             seen = [k for k in own if n[k]]
             group = sum(n.values()) % 16
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([group] * len(seen), pa.int32()), pa.array([n[k] for k in seen], pa.int64()), pa.array([total[k].T.astype("<f4").tobytes() for k in seen], pa.binary())], names=["lang", "grp", "n", "stats"])
 
-        part = parted.where(F.pmod("h", "parts") == F.lit(step) % F.col("parts")).select("lang", "numbers", "sentence_of").mapInArrow(run, schema)
+        now = " or ".join(f"parts = {k} and part = {step % k}" for k in sorted(set(parts.values())))
+        part = parted.where(now).select("lang", "numbers").mapInArrow(run, schema)
         weight, after = (OFFSET + step) ** -DECAY, dict(models)
         for r in part.groupBy("lang", "grp").applyInPandas(add, schema).groupBy("lang").applyInPandas(add, schema).collect():  # one row a language
             names, old = models[r["lang"]]
@@ -293,8 +300,9 @@ def fit_topics(documents: DataFrame, words: Vocabulary, topics: int = TOPICS, st
     return {k: (names, w + TERM_PRIOR) for k, (names, w) in models.items()}
 
 
-def infer(weights: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, rounds: int = 15, prior: float = DOCUMENT_PRIOR, still: float = 0.002) -> np.ndarray:
-    """The share of each term of some documents that falls to each topic, [terms, topics].
+def infer(weights: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, rounds: int = 15, prior: float = DOCUMENT_PRIOR, still: float = 0.002, times: np.ndarray | None = None) -> np.ndarray:
+    """The share of each term of some documents that falls to each topic, [terms, topics]; ``times`` says how often each
+    term stands, and shares are multiplied by it.
 
     Proportions of topics and shares of terms are found in turn until the proportions change no more by ``still``.
     """
@@ -305,6 +313,7 @@ def infer(weights: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, ro
     for _ in range(rounds):
         share = phi * np.repeat(theta, size, axis=0)
         share /= share.sum(1, keepdims=True)
+        share = share if times is None else share * times[:, None]
         after = np.add.reduceat(share, begin, axis=0) + np.float32(prior)
         after /= after.sum(1, keepdims=True)
         moved = np.abs(after - theta).max()
@@ -314,7 +323,7 @@ def infer(weights: np.ndarray, columns: np.ndarray, rows: np.ndarray, n: int, ro
     return share
 
 
-def _inferred(batch: pa.RecordBatch, models: dict, lookup: dict, smooth: float = 0.0) -> Iterator[tuple]:
+def _inferred(batch: pa.RecordBatch, models: dict, lookup: dict) -> Iterator[tuple]:
     """(lang, documents of the batch, document of each term by its place in these, column of each term, its shares, its
     sentence), language by language."""
     langs = np.array(batch.column("lang").to_pylist(), dtype=object)
@@ -326,7 +335,25 @@ def _inferred(batch: pa.RecordBatch, models: dict, lookup: dict, smooth: float =
         good = columns >= 0
         if good.any():
             docs, rows = np.unique(doc_of[good], return_inverse=True)
-            yield lang, docs.tolist(), rows, columns[good], infer(models[lang][1] + smooth, columns[good], rows, len(docs)), sentence[good]
+            yield lang, docs.tolist(), rows, columns[good], infer(models[lang][1], columns[good], rows, len(docs)), sentence[good]
+
+
+def _inferred_bags(batch: pa.RecordBatch, models: dict, lookup: dict) -> Iterator[tuple]:
+    """(lang, column of each distinct term of each document, its shares times its number, documents), language by
+    language; the numbers of a document's terms are sorted."""
+    langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+    numbers = batch.column("numbers")
+    values = numbers.flatten().to_numpy()
+    doc_of = np.repeat(np.arange(batch.num_rows), np.diff(numbers.offsets.to_numpy()))
+    first = np.flatnonzero((np.diff(values, prepend=-1) != 0) | (np.diff(doc_of, prepend=-1) != 0))
+    times = np.diff(np.append(first, len(values))).astype(np.float32)
+    values, doc_of = values[first], doc_of[first]
+    for lang in models:
+        columns = np.where((langs == lang)[doc_of], lookup[lang][values], -1)
+        good = columns >= 0
+        if good.any():
+            docs, rows = np.unique(doc_of[good], return_inverse=True)
+            yield lang, columns[good], infer(models[lang][1] + TERM_PRIOR, columns[good], rows, len(docs), rounds=FIT_ROUNDS, times=times[good]), len(docs)
 
 
 def _lookups(models: dict, kept: list[str]) -> dict[str, np.ndarray]:

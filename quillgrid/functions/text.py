@@ -146,7 +146,7 @@ def token_estimate(text: Column) -> Column:
 def keywords(text: Column, least: int = 3) -> Column:
     """Distinct lower-cased words of ASCII letters, digits and underscores without stop words, sorted; empty for null."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9_]+"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(*P.STOP_WORDS))))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(*P.KEYWORD_STOP_WORDS))))
 
 
 def comparable(text: Column) -> Column:
@@ -198,3 +198,78 @@ def first_line_title(text: Column) -> Column:
 def highlighted(text: Column, term: str) -> Column:
     """Every occurrence of a term (letters and digits), case ignored, between <em> marks."""
     return F.regexp_replace(text, f"(?i)({term})", "<em>$1</em>")
+
+
+def language_votes(text: Column, language: str) -> Column:
+    """Matches of a language's patterns, each counting one; 0.0 for null."""
+    return weighted_score(text, dict.fromkeys(P.LANGUAGE_WEIGHTS[language], 1.0))
+
+
+def code_examples(text: Column) -> Column:
+    """Fenced and inline code, code elements and prompts; 0 for null."""
+    return zero_if_null(reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in P.CODE_EXAMPLES]))
+
+
+def api_references(text: Column) -> Column:
+    """Definitions, decorators, request methods and routes; 0 for null."""
+    return zero_if_null(reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in P.API_REFERENCES]))
+
+
+def has_installation(text: Column) -> Column:
+    low = F.lower(text)
+    return F.coalesce(reduce(lambda a, b: a | b, [low.contains(w) for w in P.INSTALL_COMMANDS]), F.lit(False))
+
+
+def entry_type(kind: Column, code: Column, text: Column) -> Column:
+    """An entry's type by its section's name, its code, then words of its text; "documentation" for the rest."""
+    k, low = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
+    out = F.when(k.contains("code"), "code_snippet").when(k.contains("qa"), "qa_section").when(k.contains("example"), "example").when(k.contains("documentation"), "documentation")
+    out = out.when((F.coalesce(code, F.lit("")) != "") | low.contains("```"), "code_snippet")
+    for name, words in P.ENTRY_TYPES:
+        out = out.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), name)
+    return out.otherwise("documentation")
+
+
+def name_domain(name: Column) -> Column:
+    """The domain of a library by the first class of which its name has a part; "general" for others."""
+    low, out = F.lower(F.coalesce(name, F.lit(""))), None
+    for domain, parts in P.NAME_DOMAINS.items():
+        cond = reduce(lambda a, b: a | b, [low.contains(p) for p in parts])
+        out = F.when(cond, domain) if out is None else out.when(cond, domain)
+    return out.otherwise("general")
+
+
+def description_lines(text: Column, most: int = 300) -> Column:
+    """Lines 2 to 5 of a text in one, cut to ``most`` characters; null for null, empty without such lines."""
+    return F.substring(F.trim(F.array_join(F.transform(F.slice(F.split(text, "\n"), 2, 4), lambda x: F.trim(x)), " ")), 1, most)
+
+
+def technical_accuracy(language: Column, claimed: Column, kind: Column, chunk: Column, text: Column) -> Column:
+    """0.5 to 1.0 from whether found and claimed language and type agree, and from whole and indented code."""
+    expected = F.when(kind == "api_reference", "api").when(kind == "tutorial", "example").otherwise("text")
+    fences = F.regexp_count(text, F.lit("```"))
+    code = F.when(feature(text, "has_code_examples"), F.when((fences > 0) & (fences % 2 == 0), 0.1).otherwise(0.0) + F.when(text.rlike(r"(^|\n)(    |\t)"), 0.1).otherwise(0.0)).otherwise(0.0)
+    return F.least(F.lit(1.0), 0.5 + F.when(F.coalesce(language == claimed, F.lit(False)), 0.2).otherwise(0.0) + F.when(F.coalesce(expected == chunk, F.lit(False)), 0.1).otherwise(0.0) + code)
+
+
+def chunk_completeness(text: Column, strategy: Column) -> Column:
+    """0 to 1 from what a whole chunk of its strategy holds and from whether it ends naturally; 0 for null and blank."""
+    fences, low = F.regexp_count(text, F.lit("```")), F.lower(text)
+    code = F.when(text.rlike(r"(^|\n)\s*(def\s+\w+\([^)]*\):|class\s+\w+)"), 0.4).when((fences > 0) & (fences % 2 == 0), 0.3).otherwise(0.1)
+    api = F.when(text.rlike(r"(GET|POST|PUT|DELETE|PATCH)\s+/"), 0.2 + F.when(low.contains("response"), 0.2).otherwise(0.0) + F.when(low.contains("parameter"), 0.2).otherwise(0.0) + F.when(low.contains("example"), 0.2).otherwise(0.0)).otherwise(0.0)
+    prose = F.when(text.rlike(r"[.!?]"), 0.4).otherwise(0.0) + F.when(text.contains("\n\n"), 0.2).otherwise(0.0)
+    by_strategy = F.when(strategy == "code_aware", code).when(strategy == "api", api).when(strategy == "narrative", prose).otherwise(0.0)
+    ends = F.when(text.rlike(r"([.!?})]|```)$"), 0.1).otherwise(0.0)
+    return F.coalesce(F.when(word_count(text) > 0, F.least(F.lit(1.0), 0.3 + by_strategy + ends)), F.lit(0.0))
+
+
+def recency_step(at: Column, as_of: Column) -> Column:
+    """0.5 within a day, 0.3 within a week, else 0; 0 without a time."""
+    hours = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 3_600_000_000
+    return F.when(hours <= 24, 0.5).when(hours <= 168, 0.3).otherwise(0.0)
+
+
+def cut_words(text: Column, most: int) -> Column:
+    """A text of more than ``most`` words cut to its first ones with single blanks between them; others unchanged."""
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.when(F.size(words) > most, F.array_join(F.slice(words, 1, most), " ")).otherwise(text)

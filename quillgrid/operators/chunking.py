@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgrid.functions import text as X
+from quillgrid.plans.materialize import materialize
 
 _CALL = re.compile(r"\n(?=(?:GET|POST|PUT|DELETE|PATCH)\s+/)")
 _FENCE = re.compile(r"(```.*?```)", re.S)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WORD = re.compile(r"\S+\s*")
+# Where a structured text may be cut.
+_STRUCTURE = re.compile(r"\n(?=\d+\.\s)|\n(?=\*\s)|\n(?=##\s)|\n(?=\|)|\n\n(?=[A-Z])")
 
 
 def fixed_chunks(df: DataFrame, doc_id: str, text: str, size: int = 200) -> DataFrame:
@@ -89,11 +92,27 @@ def mixed(text: str, size: int = 200) -> list[str]:
     return _packed([p.strip() for p in _FENCE.split(text) if p.strip()], size, "\n\n")
 
 
-def sentences(text: str, size: int = 200) -> list[str]:
-    return _packed([s.strip() for s in _SENTENCE.split(text) if s.strip()], size, " ")
+def sentences(text: str, size: int = 200, overlap: int = 1) -> list[str]:
+    """Sentences packed up to the size; a chunk begins with the last ``overlap`` sentences of the one before it, where
+    these leave room for a new one."""
+    out, held = [], []
+    for s in (s.strip() for s in _SENTENCE.split(text)):
+        if s and held and sum(len(x.split()) for x in held) + len(s.split()) > size:
+            out.append(" ".join(held))
+            held = held[-overlap:] if overlap and len(held) > overlap else []
+            held = held if sum(len(x.split()) for x in held) + len(s.split()) <= size else []
+        held += [s] if s else []
+    return out + ([" ".join(held)] if held else [])
 
 
-STRATEGIES: dict[str, Callable[[str], list[str]]] = {"narrative": narrative, "code_aware": code_aware, "api": api_sections, "mixed": mixed, "sentences": sentences}
+def structured(text: str, size: int = 200) -> list[str]:
+    """Cut before numbered and bulleted items, second-level headers, table rows and paragraphs, packed up to the size;
+    a text without any of them is cut like prose."""
+    parts = [p for p in _STRUCTURE.split(text) if p.strip()]
+    return _packed([p.strip("\n") for p in parts], size, "\n") if len(parts) > 1 else narrative(text, size)
+
+
+STRATEGIES: dict[str, Callable[[str], list[str]]] = {"narrative": narrative, "code_aware": code_aware, "api": api_sections, "mixed": mixed, "sentences": sentences, "structured": structured}
 
 
 def strategy(text: Column) -> Column:
@@ -125,14 +144,30 @@ def chunk_documents(df: DataFrame, doc_id: str, text: str, chosen: Column | None
 
 
 def with_neighbours(chunks: DataFrame, doc_id: str, position: str, chunk_id: str, length: Column) -> DataFrame:
-    """Append previous_id, next_id, total and relative_size (length by the document's length; 0 where that is 0)."""
-    inside = Window.partitionBy(doc_id)
-    order = inside.orderBy(position)
-    total = F.sum(length).over(inside)
-    return chunks.select(
-        "*",
-        F.lag(chunk_id).over(order).alias("previous_id"),
-        F.lead(chunk_id).over(order).alias("next_id"),
-        F.count("*").over(inside).alias("total"),
-        F.when(total > 0, length / total).otherwise(0.0).alias("relative_size"),
+    """Append previous_id, next_id, total and relative_size (length by the document's length; 0 where that is 0).
+
+    Rows are range-partitioned by document and position, so a document of a third of all rows spreads over many tasks;
+    neighbours across a border come from a table of each partition's first and last row.
+    """
+    ordered = materialize(chunks.withColumn("_len", length).repartitionByRange(doc_id, position).withColumn("_p", F.spark_partition_id()), "ordered")
+    place = F.struct(F.col(doc_id).alias("d"), F.col(position).alias("o"), F.col(chunk_id).alias("c"))
+    ends = ordered.groupBy("_p").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    by_part = Window.orderBy("_p")  # one row for each partition
+    borders = ends.select("_p", F.lag("hi").over(by_part).alias("_before"), F.lead("lo").over(by_part).alias("_after"))
+    inside = Window.partitionBy("_p", doc_id).orderBy(position)
+    totals = ordered.groupBy(F.col(doc_id).alias("_d")).agg(F.count("*").alias("total"), F.sum("_len").alias("_sum"))
+    near = ordered.withColumns({"previous_id": F.lag(chunk_id).over(inside), "next_id": F.lead(chunk_id).over(inside)}).join(F.broadcast(borders), "_p")
+    first, last = (F.row_number().over(inside) == 1), (F.lead(F.lit(1)).over(inside).isNull())
+    near = near.withColumns({
+        "_previous": F.when(F.col("_before.d").eqNullSafe(F.col(doc_id)), F.col("_before.c")),
+        "_next": F.when(F.col("_after.d").eqNullSafe(F.col(doc_id)), F.col("_after.c")),
+        "_first": first, "_last": last,
+    })
+    joined = near.join(totals, F.col(doc_id).eqNullSafe(F.col("_d")))
+    return joined.select(
+        *chunks.columns,
+        F.when(F.col("_first"), F.col("_previous")).otherwise(F.col("previous_id")).alias("previous_id"),
+        F.when(F.col("_last"), F.col("_next")).otherwise(F.col("next_id")).alias("next_id"),
+        "total",
+        F.when(F.col("_sum") > 0, F.col("_len") / F.col("_sum")).otherwise(0.0).alias("relative_size"),
     )

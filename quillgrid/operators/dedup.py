@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgrid.functions import text as X
+from quillgrid.operators.graph import connected_components, first_accepted
+from quillgrid.operators.relational import join_null_safe
+from quillgrid.plans.materialize import materialize
 
 
 def keep_best(df: DataFrame, keys: list[str], score: Column, tie: list[str]) -> DataFrame:
@@ -49,40 +49,23 @@ def text_quality(text: Column) -> Column:
     return F.log10(F.length(text) + 1) + code + calls + clear
 
 
-def keep_diverse(df: DataFrame, group: str, order: str, text: str, most_alike: float = 0.5) -> DataFrame:
-    """Rows kept when, taken by ``order`` within each group, their words are no more than ``most_alike`` (Jaccard) like
-    those of any row kept before in the group.
-
-    The order decides, so each group runs in one task; use groups of bounded size (documents of a library's page, for
-    example). Null and wordless texts are dropped; equal orders are taken by text.
-    """
-    word = re.compile(r"\w+")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set[str]] = []
-        flags = []
-        for t in pdf.sort_values(["_order", "_text"], kind="stable")["_text"]:
-            own = set(word.findall(t.lower()))
-            good = bool(own) and all(len(own & k) / len(own | k) <= most_alike for k in kept)
-            flags.append(good)
-            if good:
-                kept.append(own)
-        return pdf.sort_values(["_order", "_text"], kind="stable")[flags]
-
-    rows = df.where(F.col(text).isNotNull()).select(group, F.col(order).alias("_order"), F.col(text).alias("_text"))
-    out = rows.groupBy(group).applyInPandas(run, rows.schema)
-    return out.select(group, F.col("_order").alias(order), F.col("_text").alias(text))
+def word_sets(df: DataFrame, block: list[str], id_col: str, words: Column) -> DataFrame:
+    """(*block, id, words, class_id): rows with a non-empty set of words; ``class_id`` is the smallest id of the rows of
+    the block that have the same set. Null ids and empty sets have no row."""
+    rows = df.where(F.col(id_col).isNotNull()).select(*block, F.col(id_col).alias("id"), F.array_sort(F.array_distinct(words)).alias("words")).where(F.size("words") > 0)
+    least = rows.groupBy(*block, "words").agg(F.min("id").alias("class_id"))
+    return join_null_safe(rows, least, [*block, "words"]).select(*block, "id", "words", "class_id")
 
 
-def similar_pairs(df: DataFrame, block: list[str], id_col: str, text: str, threshold: float) -> DataFrame:
-    """(a, b, similarity): pairs within a block whose sets of words are at least so alike (Jaccard), exactly.
+def similar_classes(sets: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b: classes of :func:`word_sets` of one block whose sets are at least so alike (Jaccard),
+    exactly. Copies of a set are one class, so a set in a third of all rows makes no pairs with itself.
 
-    Rows meet over the rarest words of their sets (prefix filter): of a set of n words, n - ceil(threshold * n) + 1 are
-    posted, in order of frequency over all rows, and sizes must be within the threshold. No pair that is alike is lost
+    Classes meet over the rarest words of their sets (prefix filter): of a set of n words, n - ceil(threshold * n) + 1 are
+    posted, in order of frequency over all classes, and sizes must be within the threshold. No pair that is alike is lost
     and no block is compared with itself as a whole.
     """
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.col(text)), X.SPACE), lambda w: w != "")))
-    rows = df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(*block, F.col(id_col).alias("id"), words.alias("words")).where(F.size("words") > 0)
+    rows = materialize(sets.where("id = class_id").select(*block, "id", "words").dropDuplicates([*block, "id"]), "word-sets")
     counts = rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     sized = rows.select(*block, "id", F.size("words").alias("size"), F.explode("words").alias("w")).join(counts, "w")
     place = F.row_number().over(Window.partitionBy(*block, "id").orderBy("n", "w"))
@@ -91,6 +74,57 @@ def similar_pairs(df: DataFrame, block: list[str], id_col: str, text: str, thres
     right = prefix.select(*block, "w", F.col("id").alias("b"), F.col("size").alias("nb"))
     near = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9)) & (F.col("a") < F.col("b"))
     pairs = left.join(right, [*block, "w"]).where(near).select("a", "b").distinct()
-    sets = rows.select("id", "words").groupBy("id").agg(F.first("words").alias("words"))
-    both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
+    sides = rows.select("id", "words")
+    both = pairs.join(sides.toDF("a", "wa"), "a").join(sides.toDF("b", "wb"), "b")
     return both.select("a", "b", X.jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+
+
+def space_words(text: Column) -> Column:
+    """The lower-cased words of a text between white space; empty for null."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), X.SPACE), lambda w: w != "")
+
+
+def similar_pairs(df: DataFrame, block: list[str], id_col: str, text: str, threshold: float) -> DataFrame:
+    """:func:`similar_classes` of the texts' words; ids of pairs are those of classes of equal sets."""
+    return similar_classes(word_sets(df, block, id_col, space_words(F.col(text))), block, threshold)
+
+
+def similar_groups(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component): members of groups of two or more that equal sets and links (a, b) hold together, directly or
+    through others; the component is the smallest id."""
+    of_class = connected_components(links).select(F.col("node").alias("class_id"), "component")
+    out = sets.select("id", "class_id").distinct().join(of_class, "class_id", "left").select("id", F.coalesce("component", "class_id").alias("component"))
+    large = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return out.join(large, "component").select("id", "component")
+
+
+def representatives(df: DataFrame, groups: DataFrame, id_col: str, score: Column) -> DataFrame:
+    """``df`` without the members of groups (id, component) that another member beats: the highest score stays, ties by
+    the smaller id; rows outside all groups stay. Only scores are grouped; rows are joined to what leaves."""
+    scored = df.select(F.col(id_col).alias("id"), score.alias("score")).join(groups, "id")
+    best = scored.groupBy("component").agg(F.max("score").alias("top"))
+    first = scored.join(best, "component").where("score = top").groupBy("component").agg(F.min("id").alias("id"))
+    beaten = groups.join(first, ["component", "id"], "left_anti").select(F.col("id").alias(id_col)).distinct()
+    return df.join(beaten, id_col, "left_anti")
+
+
+def keep_diverse(df: DataFrame, group: list[str], order: str, text: str, most_alike: float = 0.5) -> DataFrame:
+    """Rows kept when, taken by ``order`` within each group, their words are no more than ``most_alike`` (Jaccard) like
+    those of any row kept before in the group.
+
+    Alike pairs of a group come from the prefix-filter join, and rows are decided in rounds over these links, so a group
+    of a third of all rows is no single task. Null and wordless texts are dropped; equal orders are taken by text, and of
+    equal sets the first one stands for all. Rows with a null in ``group`` are alike none.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\w+"), F.lit(0))
+    rows = df.where(F.col(text).isNotNull()).select(*group, F.struct(F.col(order).alias("o"), F.col(text).alias("t")).alias("turn"), words.alias("_w")).where(F.size("_w") > 0)
+    sets = rows.groupBy(*group, F.array_sort(F.array_distinct("_w")).alias("words")).agg(F.min("turn").alias("turn"))
+    nodes = materialize(sets.select(F.monotonically_increasing_id().alias("id"), *group, "words", "turn"), "diverse")
+    pairs = materialize(similar_classes(nodes.withColumn("class_id", F.col("id")), group, most_alike).where(F.col("similarity") > most_alike), "alike")
+    turn = nodes.select("id", "turn")
+    both = pairs.join(turn.toDF("a", "ta"), "a").join(turn.toDF("b", "tb"), "b")
+    later = F.col("ta") > F.col("tb")
+    earlier = materialize(both.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("before")), "earlier")
+    refused = first_accepted(earlier.select("node").union(earlier.select("before")), earlier).where("not accepted").select(F.col("node").alias("id"))
+    kept = nodes.join(refused, "id", "left_anti")
+    return kept.select(*group, F.col("turn.o").alias(order), F.col("turn.t").alias(text))

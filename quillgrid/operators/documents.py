@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgrid.functions import text as X
+from quillgrid.plans.materialize import materialize
 
 # Keys that tell the shape of a document, and keys that hold no content.
 TOOL_KEYS = ("contexts", "library_info", "documentation_sections", "total_tokens")
@@ -40,7 +41,7 @@ def _explode(df: DataFrame, variant: str, view: str) -> DataFrame:
 
 
 def sections(df: DataFrame, doc_id: str, text: str, least: int = 1) -> DataFrame:
-    """(doc_id, name, level, content): every string of a JSON document up to three levels deep with its path.
+    """(doc_id, name, level, content): every string of a JSON document at any depth with its path.
 
     Members of objects are named a.b, those of arrays a[i]; names of metadata are left out at the top level; blank
     strings and those under ``least`` characters are dropped. Documents that aren't JSON objects or arrays have one
@@ -49,15 +50,16 @@ def sections(df: DataFrame, doc_id: str, text: str, least: int = 1) -> DataFrame
     rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), parsed(F.when(F.col(text).rlike(r"^\s*[\[{]"), F.col(text))).alias("_v"))
     plain = rows.where("_v is null").select("doc_id", F.lit("content").alias("name"), F.lit(0).alias("level"), F.col("_text").alias("content"))
     level = rows.where("_v is not null").select("doc_id", F.lit("").alias("name"), F.col("_v").alias("v"))
-    out = plain
-    for depth in range(3):
+    out, depth = plain, 0
+    while depth == 0 or not level.isEmpty():  # one round for each level that any document has
         members = _explode(level, "t.v", f"quillgrid_sections_{depth}")
         name = F.when(F.col("key").isNull(), F.format_string("%s[%d]", "name", "pos")).when(F.col("name") == "", F.col("key")).otherwise(F.concat_ws(".", "name", "key"))
         members = members.select("doc_id", name.alias("name"), F.col("value").alias("v"), F.expr("schema_of_variant(value)").alias("kind"))
         if depth == 0:
             members = members.where(~F.lower("name").isin(*METADATA_KEYS))
         out = out.union(members.where("kind = 'STRING'").select("doc_id", "name", F.lit(depth), F.expr("variant_get(v, '$', 'string')")))
-        level = members.where("kind like 'OBJECT%' or kind like 'ARRAY%'").select("doc_id", "name", "v")
+        level = materialize(members.where("kind like 'OBJECT%' or kind like 'ARRAY%'").select("doc_id", "name", F.expr("to_json(v)").alias("j")), "members")
+        level, depth = level.select("doc_id", "name", F.parse_json("j").alias("v")), depth + 1
     return out.where((F.length(F.trim("content")) >= least) & (F.trim("content") != ""))
 
 

@@ -8,16 +8,20 @@ from quillgrid.functions import patterns as P, text as X
 
 # Shapes of the entities looked for, and words that are no configuration keys.
 ENDPOINT = r"(?:GET|POST|PUT|DELETE|PATCH)\s+(/[^\s`]*)"
+FENCED_CODE = r"(?s)```(?:\w+)?\n(.*?)\n```"
 INLINE_CODE = r"`([^`\n]{6,200})`"
 SETTING = r"([A-Z_][A-Z0-9_]{2,})\s*="
 FLAG = r"--([a-zA-Z][a-zA-Z-]{2,})"
 NO_KEYS = ("true", "false", "null", "undefined", "string", "number")
 
 
+def _every(text: Column, pattern: str) -> Column:
+    """Distinct matches of a pattern's group, sorted; empty for null."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))))
+
+
 def _found(text: Column, pattern: str, most: int) -> Column:
-    """Distinct matches of a pattern's group, sorted, at most so many; empty for null."""
-    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))
-    return F.slice(F.array_sort(F.array_distinct(hits)), 1, most)
+    return F.slice(_every(text, pattern), 1, most)
 
 
 def endpoints(text: Column) -> Column:
@@ -25,12 +29,14 @@ def endpoints(text: Column) -> Column:
 
 
 def code_snippets(text: Column) -> Column:
-    return _found(text, INLINE_CODE, 5)
+    """Fenced blocks first, then inline code, trimmed, distinct and under 500 characters; at most five of them."""
+    both = F.array_union(F.transform(_every(text, FENCED_CODE), lambda x: F.btrim(x, F.lit(" \t\r\n"))), _every(text, INLINE_CODE))
+    return F.slice(F.filter(both, lambda x: (x != "") & (F.length(x) < 500)), 1, 5)
 
 
 def setting_keys(text: Column) -> Column:
     """Upper-cased keys before an equals sign and long flags, together at most 20."""
-    every = F.array_union(_found(text, SETTING, 1000), _found(text, FLAG, 1000))
+    every = F.array_union(_every(text, SETTING), _every(text, FLAG))
     return F.slice(F.array_sort(F.filter(every, lambda k: ~F.lower(k).isin(*NO_KEYS))), 1, 20)
 
 

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal; the right side's keys are dropped. Both sides may come from one table."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    r = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in right.columns if c not in keys])
+    return left.join(r, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]), how).drop(*names)
+
+
 def interval_join(points: DataFrame, ranges: DataFrame, on: list[str], at: str, start: str, end: str, width: float) -> DataFrame:
     """Rows of both where start <= at < end, for the same ``on`` values.
 

@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillgrid.operators.relational import join_null_safe
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """(*keys, n, name...): the value at index int(n * share) of the sorted values, for each named share; exact.
 
-    Null values are left out. Ranks come from a window over each key, which sorts on disk where it must; nothing is
-    collected into an array.
+    Null values are left out. Sketches with map-side merging bracket each rank by two values; what lies below the
+    bracket is counted, and only values inside it (a few of ``accuracy`` parts of a key's rows, equal values combined) are
+    put in order. So a key of a third of all rows is never sorted as a whole.
     """
-    order = Window.partitionBy(*keys).orderBy(value)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(order) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    picks = [F.max(F.when(F.col("_i") == F.least(F.floor(F.col("n") * s), F.col("n") - 1), F.col(value))).alias(name) for name, s in shares.items()]
-    return rows.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    names, rows = list(shares), df.where(F.col(value).isNotNull()).select(*keys, value)
+    edges = [min(1.0, max(0.0, s + d)) for s in shares.values() for d in (-2 / accuracy, 2 / accuracy)]
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx(value, edges, accuracy).alias("_e"))
+    near = join_null_safe(rows, found, keys)
+    inside = F.array_compact(F.array(*[F.when(F.col(value).between(F.col("_e")[2 * i], F.col("_e")[2 * i + 1]), F.lit(i)) for i in range(len(names))]))
+    below = near.groupBy(*keys).agg(F.max("n").alias("n"), *[F.sum((F.col(value) < F.col("_e")[2 * i]).cast("bigint")).alias(f"_b{i}") for i in range(len(names))])
+    counted = near.where(F.size(inside) > 0).groupBy(*keys, value).agg(F.count("*").alias("_c"), F.first(inside).alias("_in"))
+    exploded = counted.select(*keys, value, "_c", F.explode("_in").alias("_i"))
+    joined = join_null_safe(exploded, below, keys).withColumn("_b", F.array(*[F.col(f"_b{i}") for i in range(len(names))]))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy(value))
+    wanted = F.least(F.floor(F.col("n") * F.array(*[F.lit(float(s)) for s in shares.values()])[F.col("_i")]), F.col("n") - 1)
+    hit = joined.withColumn("_to", F.col("_b")[F.col("_i")] + upto).where((F.col("_to") > wanted) & (F.col("_to") - F.col("_c") <= wanted))
+    return hit.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_i") == i, F.col(value))).alias(name) for i, name in enumerate(names)])
 
 
 def approximate_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:

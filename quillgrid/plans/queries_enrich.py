@@ -15,7 +15,11 @@ def _all(pattern: str, text: str = "text") -> str:
     return f"list_sort(list_distinct(regexp_extract_all(coalesce({text}, ''), '{pattern}', 1)))"
 
 
-@query(f"SELECT doc_id, array_to_string({_all(E.ENDPOINT)}[1:10], '|') AS endpoints, array_to_string({_all(E.INLINE_CODE)}[1:5], '|') AS snippets FROM documents")
+_FENCED = f"list_transform({_all(E.FENCED_CODE)}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)))"
+_BOTH = f"list_concat({_FENCED}, list_filter({_all(E.INLINE_CODE)}, lambda y: NOT list_contains({_FENCED}, y)))"
+
+
+@query(f"SELECT doc_id, array_to_string({_all(E.ENDPOINT)}[1:10], '|') AS endpoints, array_to_string(list_filter({_BOTH}, lambda x: x <> '' AND length(x) < 500)[1:5], '|') AS snippets FROM documents")
 def document_entities(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.array_join(E.endpoints(t), "|").alias("endpoints"), F.array_join(E.code_snippets(t), "|").alias("snippets"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillgrid.operators import dedup as D, statistics as ST, tables as TB
-from quillgrid.operators.graph import connected_components
 from quillgrid.plans.registry import query, table
 from quillgrid.sources.writers import version_id, version_time
 
@@ -26,8 +25,10 @@ def exact_copy_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT content, entry_id, library_id FROM documentation_entry QUALIFY row_number() OVER (PARTITION BY content ORDER BY coalesce(length(title), 0) + coalesce(length(description), 0) DESC, entry_id) = 1")
 def best_copies(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documentation_entry").select("content", "entry_id", "library_id", "title", "description")
+    rows = rows.withColumn("digest", F.coalesce(F.sha2("content", 256), F.lit("")))  # groups are keyed by a hash, texts are joined back
     size = F.coalesce(F.length("title"), F.lit(0)) + F.coalesce(F.length("description"), F.lit(0))
-    return D.keep_best(rows, ["content"], size, ["entry_id"]).select("content", "entry_id", "library_id")
+    best = D.keep_best(rows.select("digest", "entry_id", size.alias("size")), ["digest"], F.col("size"), ["entry_id"])
+    return rows.join(best.select("digest", "entry_id"), ["digest", "entry_id"]).dropDuplicates(["digest"]).select("content", "entry_id", "library_id")
 
 
 @query("SELECT doc_id, round(log10(length(text) + 1) + least(len(regexp_extract_all(text, '```')) * 0.5::double, 2.0) + least(len(regexp_extract_all(text, 'GET|POST|PUT|DELETE')) * 0.2::double, 1.0) + least(((length(lower(text)) - length(replace(lower(text), 'example', ''))) // 7) * 0.3::double, 1.5), 6) AS quality FROM documents")
@@ -38,7 +39,7 @@ def copy_quality(spark: SparkSession, d: str) -> DataFrame:
 _SETS = r"list_distinct(list_filter(regexp_split_to_array(lower(title), '[ \t\n\r\f]+'), lambda w: w <> ''))"
 
 
-@query(f"""WITH s AS (SELECT entry_id, library_id, {_SETS} AS w FROM documentation_entry WHERE title IS NOT NULL),
+@query(f"""WITH e AS (SELECT entry_id, library_id, list_sort({_SETS}) AS w FROM documentation_entry WHERE title IS NOT NULL AND library_id IS NOT NULL), s AS (SELECT library_id, w, min(entry_id) AS entry_id FROM e WHERE len(w) > 0 GROUP BY 1, 2),
     p AS (SELECT a.entry_id AS a, b.entry_id AS b, len(list_intersect(a.w, b.w))::double AS c, len(a.w) + len(b.w) AS n FROM s a JOIN s b ON a.library_id = b.library_id AND a.entry_id < b.entry_id)
     SELECT a, b, round(c / (n - c), 6) AS similarity FROM p WHERE c / (n - c) >= 0.6""")
 def similar_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -51,14 +52,14 @@ def similar_titles(spark: SparkSession, d: str) -> DataFrame:
     e AS (SELECT a, b FROM p WHERE c / (n - c) >= 0.6), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a)
     SELECT node AS entry_id, min(reach) AS component FROM r GROUP BY node""")
 def similar_title_groups(spark: SparkSession, d: str) -> DataFrame:
-    pairs = D.similar_pairs(table(spark, d, "documentation_entry"), ["library_id"], "entry_id", "title", 0.6)
-    return connected_components(pairs).select(F.col("node").alias("entry_id"), "component")
+    rows = table(spark, d, "documentation_entry").where("library_id is not null")
+    sets = D.word_sets(rows, ["library_id"], "entry_id", D.space_words(F.col("title")))
+    return D.similar_groups(sets, D.similar_classes(sets, ["library_id"], 0.6)).select(F.col("id").alias("entry_id"), "component")
 
 
 @query()
 def diverse_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "document_embedding").withColumn("page", F.concat_ws("|", "library_id", "version", "section"))
-    return D.keep_diverse(rows, "page", "id", "content")
+    return D.keep_diverse(table(spark, d, "document_embedding"), ["library_id", "version", "section"], "id", "content")
 
 
 @query("SELECT DISTINCT ON (id) id, library_id, version, token_count, indexed_at FROM (SELECT DISTINCT id, library_id, version, token_count, indexed_at FROM document_embedding) ORDER BY id, indexed_at DESC NULLS LAST, library_id DESC NULLS LAST")

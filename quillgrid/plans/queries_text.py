@@ -139,7 +139,8 @@ def text_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in P.STOP_WORDS)
-_KEYS = f"list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce({{}}, '')), '[a-z0-9_]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))))"
+_KEY_STOP = ", ".join(f"'{w}'" for w in P.KEYWORD_STOP_WORDS)
+_KEYS = f"list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce({{}}, '')), '[a-z0-9_]+'), lambda w: length(w) >= 3 AND w NOT IN ({_KEY_STOP}))))"
 
 
 @query(f"SELECT entry_id, array_to_string({_KEYS.format('title')}, ' ') AS keywords FROM documentation_entry")

@@ -124,8 +124,15 @@ def test_scratch_tables(spark):
 def test_similar_pairs_are_complete(spark):
     texts = ["a b c d e f", "a b c d e g", "a b c d", "x y z", "x y z", "", None, "q"]
     rows = [(i, "k", t) for i, t in enumerate(texts)]
-    got = {(r.a, r.b) for r in dedup.similar_pairs(spark.createDataFrame(rows, "id int, k string, t string"), ["k"], "id", "t", 0.6).collect()}
-    sets = {i: set(t.split()) for i, _, t in rows if t}
+    df = spark.createDataFrame(rows, "id int, k string, t string")
+    got = {(r.a, r.b) for r in dedup.similar_pairs(df, ["k"], "id", "t", 0.6).collect()}
+    own = dedup.word_sets(df, ["k"], "id", dedup.space_words(F.col("t")))
+    assert {(r.id, r.class_id) for r in own.collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (7, 7)}
+    groups = dedup.similar_groups(own, dedup.similar_classes(own, ["k"], 0.6))
+    assert {(r.id, r.component) for r in groups.collect()} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)}
+    kept = dedup.representatives(df, groups, "id", F.length("t"))
+    assert {r.id for r in kept.collect()} == {0, 3, 5, 6, 7}
+    sets = {i: set(t.split()) for i, _, t in rows if t and i != 4}
     assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
 
 
@@ -133,7 +140,7 @@ def test_keep_best_and_diverse(spark):
     df = spark.createDataFrame([("k", 1, 5.0), ("k", 2, 7.0), ("k", 3, 7.0), ("z", 4, None), (None, 5, 1.0)], "k string, id int, s double")
     assert {r.id for r in dedup.keep_best(df, ["k"], F.col("s"), ["id"]).collect()} == {2, 4, 5}
     texts = spark.createDataFrame([("p", 1, "a b c d"), ("p", 2, "a b c e"), ("p", 3, "x y"), ("p", 4, None), ("q", 5, "a b c d")], "g string, n int, t string")
-    assert {r.n for r in dedup.keep_diverse(texts, "g", "n", "t").collect()} == {1, 3, 5}
+    assert {r.n for r in dedup.keep_diverse(texts, ["g"], "n", "t").collect()} == {1, 3, 5}
 
 
 def test_chunking(spark):
@@ -236,3 +243,22 @@ def test_stream_windows_drop_late_rows(spark, tmp_path):
     stream = jobs.event_stream(spark, str(tmp_path / "in/*"), schema, files_per_trigger=1)
     out = jobs.run_to_table(jobs.windowed(stream, ["k"], "ts", "1 hour", None, "30 minutes", {"n": F.count("*")}), "late")
     assert {(r.window_start.hour, r.k, r.n) for r in out.collect()} >= {(1, "a", 1)}
+
+
+def test_neighbours_across_partitions_and_percentiles_of_ties(spark):
+    """One document of nearly all rows, cut into several partitions; a key of one value; keys that are null."""
+    n = 3000
+    df = spark.range(n).select(F.when(F.col("id") < n - 5, "hot").otherwise(F.lit(None)).alias("d"), F.col("id").alias("p"), F.concat(F.lit("c"), "id").alias("c"))
+    rows = {r.p: r for r in chunking.with_neighbours(df.repartition(7), "d", "p", "c", F.lit(1)).collect()}
+    assert len(rows) == n and rows[0].previous_id is None and rows[n - 6].next_id is None and rows[n - 5].previous_id is None and rows[0].total == n - 5
+    assert all(rows[i].previous_id == f"c{i - 1}" and rows[i - 1].next_id == f"c{i}" for i in range(1, n) if i != n - 5)
+    values = df.select(F.lit(None).cast("string").alias("k"), F.when(F.col("p") % 3 == 0, 7.0).otherwise(F.col("p") * 1.0).alias("v"))
+    got = statistics.nearest_rank(values, ["k"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()
+    want = sorted(7.0 if i % 3 == 0 else float(i) for i in range(n))
+    assert [tuple(r) for r in got] == [(None, n, want[0], want[1500], want[2850], want[-1])]
+
+
+def test_sections_at_any_depth(spark):
+    deep = '{"a": ' * 8 + '"the deepest text"' + "}" * 8
+    got = documents.sections(spark.createDataFrame([("x", deep), ("y", '["one text", {"b": "two"}]'), ("z", "plain")], "i string, t string"), "i", "t").collect()
+    assert {(r.doc_id, r.name, r.level) for r in got} == {("x", ".".join("a" * 8), 7), ("y", "[0]", 0), ("y", "[1].b", 1), ("z", "content", 0)}

@@ -17,13 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillgrid.llm import likeness as L, sketch as S
 from quillgrid.llm.near_duplicates import ALIKE, compare, text_classes
-from quillgrid.operators.graph import connected_components
+from quillgrid.operators.graph import first_accepted
 from quillgrid.plans.materialize import delete_folder, drop_scratch, finished_runs, mark_finished, materialize, scratch_path
 
 TREES = 40
@@ -41,8 +40,6 @@ _MOST_BUCKET_BITS, _MOST_SLOT_BITS = 8, 12
 MERGE_RUNS = 8
 #: Ranges of more open classes of one batch are first compared with their earliest one, for so many rounds at most.
 HOT_RANGE, LEADER_ROUNDS = 2_000, 8
-#: Links of a component that one task may decide in order.
-COMPONENT_LINKS = 10_000
 #: Nodes of a batch lie in a range of their own.
 _RUN = 1 << 50
 
@@ -133,63 +130,6 @@ def hot_ranges(entries: DataFrame, length: int, most: int | None = None, bits: i
     return found.groupBy("p").agg(F.count("*").alias("n"), F.min(F.struct("turn", "node")).alias("first")).where(F.col("n") > most).select("p", "first")
 
 
-def first_accepted(nodes: DataFrame, earlier: DataFrame, rounds: int = 12, small: int | None = None) -> DataFrame:
-    """(node, accepted) when nodes are taken in order and one is accepted unless an earlier accepted one is alike.
-
-    ``earlier`` has (node, before): alike pairs of undecided nodes. Each round decides every node whose earlier
-    neighbours are all decided or of which one has been accepted. What is still open after ``rounds`` (long chains) is
-    cut into components; those of at most ``small`` links are decided by one task each, larger ones by more rounds.
-    """
-    small = COMPONENT_LINKS if small is None else small
-    state = materialize(nodes.select("node").distinct().withColumn("accepted", F.lit(None).cast("boolean")), "decisions")
-    n = 0
-    while not state.where("accepted is null").isEmpty():
-        n += 1
-        if n == rounds + 1:
-            state = _decide_components(state, earlier, small)
-            continue
-        seen = earlier.join(state.select(F.col("node").alias("before"), F.col("accepted").alias("b")), "before")
-        told = seen.groupBy("node").agg(F.max(F.coalesce("b", F.lit(False))).alias("hit"), F.max(F.col("b").isNull()).alias("open"))
-        decided = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.col("hit"), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
-        after = materialize(state.join(told, "node", "left").select("node", decided.alias("accepted")), "decisions")
-        drop_scratch(state)
-        state = after
-    return state
-
-
-def _decide_components(state: DataFrame, earlier: DataFrame, small: int) -> DataFrame:
-    """Decide the components of open nodes that have at most ``small`` links, each in one task."""
-    known = state.select(F.col("node").alias("before"), F.col("accepted").alias("b"))
-    hit = earlier.join(known.where("b"), "before").select("node").distinct().withColumn("hit", F.lit(True))
-    waiting = materialize(state.where("accepted is null").select("node").join(hit, "node", "left").select("node", F.col("hit").isNotNull().alias("hit")), "waiting")
-    open_links = earlier.join(waiting, "node").join(waiting.toDF("before", "hit_before"), "before").select("node", "before", "hit", "hit_before")
-    open_links = materialize(open_links, "open-links")
-    component = connected_components(open_links, "node", "before")
-    linked = open_links.join(component, "node")
-    few = linked.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= small).select("component")
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        before: dict[int, list[int]] = {}
-        after: dict[int, list[int]] = {}
-        beaten = {*pdf.loc[pdf["hit"], "node"].tolist(), *pdf.loc[pdf["hit_before"], "before"].tolist()}
-        for a, b in zip(pdf["node"].tolist(), pdf["before"].tolist()):
-            before.setdefault(a, []).append(b)
-            after.setdefault(b, []).append(a)
-        waiting = {a: len(bs) for a, bs in before.items()}
-        ready, told = [b for b in after if b not in before], {}
-        while ready:
-            node = ready.pop()
-            told[node] = node not in beaten and not any(told[b] for b in before.get(node, ()))
-            for a in after.get(node, ()):
-                waiting[a] -= 1
-                if not waiting[a]:
-                    ready.append(a)
-        return pd.DataFrame({"node": list(told), "told": list(told.values())})
-
-    done = linked.join(few, "component").select("component", "node", "before", "hit", "hit_before").groupBy("component").applyInPandas(decide, "node bigint, told boolean")
-    return materialize(state.join(done, "node", "left").select("node", F.coalesce("accepted", "told").alias("accepted")), "decisions")
-
-
 @dataclass(frozen=True)
 class Run:
     """A finished run: batches first .. last, and how many bits of a path and of a node's hash name its files."""

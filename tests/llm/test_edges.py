@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.llm import batch_history, boilerplate, canonical, entry, likeness, near_duplicates, packing, subjects, token_budget, tokenizer
+from quillgrid.operators import graph
 from quillgrid.operators.graph import connected_components
 
 LONG = " ".join(f"word{i}" for i in range(200_000))
@@ -104,7 +105,7 @@ def test_likeness_is_exact(spark):
 @pytest.mark.parametrize(("hot_range", "links"), [(2_000, 10_000), (3, 10_000), (3, 2)])
 def test_batch_duplicates(spark, monkeypatch, hot_range, links):
     monkeypatch.setattr(batch_history, "HOT_RANGE", hot_range)
-    monkeypatch.setattr(batch_history, "COMPONENT_LINKS", links)
+    monkeypatch.setattr(graph, "COMPONENT_LINKS", links)
     day = lambda n: None if n is None else datetime.datetime(2026, 2, 25) + datetime.timedelta(days=n)
     a = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, day(0), a), (2, day(1), a.upper()), (3, day(9), a + " more"), (4, day(9), "another text of some words"), (5, day(10), "another text, of some words"), (6, day(8), None), (7, None, a), (8, day(8), ""), (9, day(11), "x"), (10, day(12), "X!"), (None, day(9), a), (3, day(9), a + " more"), (11, day(13), LONG), (12, day(14), LONG + " z")]
@@ -208,7 +209,7 @@ def test_long_chains_are_decided(spark):
     for small in (10_000, 1):
         if small == 1:
             earlier, nodes = earlier.where("node < 30"), nodes.where("node < 30")
-        got = {r.node: r.accepted for r in batch_history.first_accepted(nodes, earlier, rounds=3, small=small).collect()}
+        got = {r.node: r.accepted for r in graph.first_accepted(nodes, earlier, rounds=3, small=small).collect()}
         assert all(got[i] == (i % 2 == 0) for i in got if i < 1000)
         assert small == 1 or (got[1000], got[1001], got[1002]) == (False, True, False)
 

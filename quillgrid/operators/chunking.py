@@ -171,3 +171,10 @@ def with_neighbours(chunks: DataFrame, doc_id: str, position: str, chunk_id: str
         "total",
         F.when(F.col("_sum") > 0, F.col("_len") / F.col("_sum")).otherwise(0.0).alias("relative_size"),
     )
+
+
+def with_analysis(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """Chunks with the hash of their content, their words and characters, what they hold and how whole they are."""
+    c = F.col(content)
+    flags = {k: X.feature(c, k) for k in ("has_code_examples", "has_api_references", "has_installation_instructions")}
+    return chunks.select("*", F.sha2(c, 256).alias("content_hash"), X.word_count(c).alias("words"), F.length(c).alias("characters"), *[v.alias(k) for k, v in flags.items()], X.chunk_completeness(c, F.col("strategy")).alias("completeness"))

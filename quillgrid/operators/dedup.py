@@ -128,3 +128,30 @@ def keep_diverse(df: DataFrame, group: list[str], order: str, text: str, most_al
     refused = first_accepted(earlier.select("node").union(earlier.select("before")), earlier).where("not accepted").select(F.col("node").alias("id"))
     kept = nodes.join(refused, "id", "left_anti")
     return kept.select(*group, F.col("turn.o").alias(order), F.col("turn.t").alias(text))
+
+
+def entry_cascade(df: DataFrame, library: str, entry_id: str) -> DataFrame:
+    """Entries kept when, taken by id within their library, they repeat no entry kept before: the same content, a title
+    more than 0.9 alike, for code contents more than 0.8 alike, for others title and description more than 0.8 alike.
+
+    The links come from joins over hashes and over rare words, and rows are decided in rounds over them, so a library of a
+    third of all rows is no single task. Rows with a null id or library are kept.
+    """
+    rows = df.where(F.col(entry_id).isNotNull() & F.col(library).isNotNull())
+    code = F.coalesce(F.col("entry_type") == "code_snippet", F.lit(False)) | F.coalesce(F.col("content").contains("```"), F.lit(False))
+    both = F.concat_ws(" ", "title", "description")
+    chosen = [(F.lit(True), F.col("title"), 0.9), (code, F.col("content"), 0.8), (~code, both, 0.8)]
+    links = None
+    for cond, text, least in chosen:
+        sets = materialize(word_sets(rows.where(cond), [library], entry_id, space_words(text)), "sets")
+        alike = similar_classes(sets, [library], least).where(F.col("similarity") > least).select("a", "b")
+        member = sets.select("id", "class_id")
+        # members of alike classes are linked through their classes: each to the other's first, and to its own
+        pairs = alike.join(member.toDF("x", "a"), "a").select("x", F.col("b").alias("y")).union(alike.join(member.toDF("x", "b"), "b").select("x", F.col("a").alias("y"))).union(member.where("id <> class_id").toDF("x", "y"))
+        links = pairs if links is None else links.union(pairs)
+    same = rows.where("content is not null").select(F.col(entry_id).alias("x"), library, F.sha2("content", 256).alias("h"))
+    first = same.groupBy(library, "h").agg(F.min("x").alias("y"))
+    links = links.union(same.join(first, [library, "h"]).where("x <> y").select("x", "y"))
+    earlier = materialize(links.select(F.greatest("x", "y").alias("node"), F.least("x", "y").alias("before")).where("node <> before").distinct(), "earlier")
+    refused = first_accepted(earlier.select("node").union(earlier.select("before")), earlier, node_type=rows.schema[entry_id].dataType.simpleString()).where("not accepted").select(F.col("node").alias(entry_id))
+    return df.join(refused, entry_id, "left_anti")

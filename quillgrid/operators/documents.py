@@ -108,3 +108,46 @@ def json_members(df: DataFrame, row_id: str, text: str, paths: dict[str, tuple[s
     """(row_id, name...): values at JSON paths, each with a Spark type; null where the path or the type doesn't fit."""
     v = F.try_parse_json(F.col(text))
     return df.select(row_id, v.alias("_v")).select(row_id, *[F.try_variant_get("_v", path, kind).alias(name) for name, (path, kind) in paths.items()])
+
+
+def key_metrics(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(row_id, keys, nested, snake, camel, populated) of texts that are JSON objects: how many keys they have, of objects,
+    in snake and camel case, and of strings of more than 10 characters."""
+    rows = df.where(F.ltrim(text).startswith("{")).select(row_id, parsed(F.col(text)).alias("_v")).where("_v is not null")
+    each = _explode(rows, "t._v", "quillgrid_key_metrics").select(row_id, "key", F.expr("schema_of_variant(value)").alias("kind"), F.expr("try_variant_get(value, '$', 'string')").alias("s"))
+    count = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("bigint"))
+    key = F.col("key")
+    return each.groupBy(row_id).agg(
+        F.count("*").alias("keys"),
+        count(F.col("kind").startswith("OBJECT")).alias("nested"),
+        count(key.contains("_") & (key == F.lower(key))).alias("snake"),
+        count(F.substring(key, 2, 1000).rlike("[A-Z]")).alias("camel"),
+        count((F.col("kind") == "STRING") & (F.length(F.trim("s")) > 10)).alias("populated"),
+    )
+
+
+def merged_maps(left: Column, right: Column) -> Column:
+    """Both maps in one; of a key that both have the right one's value is taken. Null maps count as empty."""
+    empty = F.create_map().cast("map<string,string>")
+    a, b = F.coalesce(left, empty), F.coalesce(right, empty)
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b)
+
+
+def exploded_list(df: DataFrame, keep: list[str], text: str, schema: str) -> DataFrame:
+    """One row for each member of a JSON list with the members' fields; texts that are no list give no row."""
+    return df.select(*keep, F.explode(F.from_json(F.col(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ', ')}>>")).alias("_e")).select(*keep, "_e.*")
+
+
+def requests(chunks: DataFrame, content: str, preview: int = 200, quality: float = 0.5) -> DataFrame:
+    """Chunks (id, library_id, version, programming_language, token_count, trust_score, content) as what is sent to be
+    embedded and stored: hash and kind of the text, a preview, and defaults for what is missing."""
+    c = F.col(content)
+    return chunks.select(
+        "id", "library_id", "version",
+        F.coalesce("programming_language", F.lit("")).alias("programming_language"),
+        F.coalesce("token_count", F.lit(0)).alias("token_count"),
+        F.coalesce(F.col("trust_score") / 10, F.lit(quality)).alias("quality"),
+        F.substring(c, 1, preview).alias("preview"),
+        F.md5(c).alias("content_hash"),
+        F.lit("document").alias("input_type"),
+    )

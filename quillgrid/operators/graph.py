@@ -52,7 +52,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     raise RuntimeError(f"components need more than {max_rounds} rounds")
 
 
-def first_accepted(nodes: DataFrame, earlier: DataFrame, rounds: int = 12, small: int | None = None) -> DataFrame:
+def first_accepted(nodes: DataFrame, earlier: DataFrame, rounds: int = 12, small: int | None = None, node_type: str = "bigint") -> DataFrame:
     """(node, accepted) when nodes are taken in order and one is accepted unless an earlier accepted one is alike.
 
     ``earlier`` has (node, before): alike pairs of undecided nodes. Each round decides every node whose earlier
@@ -65,7 +65,7 @@ def first_accepted(nodes: DataFrame, earlier: DataFrame, rounds: int = 12, small
     while not state.where("accepted is null").isEmpty():
         n += 1
         if n == rounds + 1:
-            state = _decide_components(state, earlier, small)
+            state = _decide_components(state, earlier, small, node_type)
             continue
         seen = earlier.join(state.select(F.col("node").alias("before"), F.col("accepted").alias("b")), "before")
         told = seen.groupBy("node").agg(F.max(F.coalesce("b", F.lit(False))).alias("hit"), F.max(F.col("b").isNull()).alias("open"))
@@ -76,7 +76,7 @@ def first_accepted(nodes: DataFrame, earlier: DataFrame, rounds: int = 12, small
     return state
 
 
-def _decide_components(state: DataFrame, earlier: DataFrame, small: int) -> DataFrame:
+def _decide_components(state: DataFrame, earlier: DataFrame, small: int, node_type: str) -> DataFrame:
     """Decide the components of open nodes that have at most ``small`` links, each in one task."""
     known = state.select(F.col("node").alias("before"), F.col("accepted").alias("b"))
     hit = earlier.join(known.where("b"), "before").select("node").distinct().withColumn("hit", F.lit(True))
@@ -105,5 +105,5 @@ def _decide_components(state: DataFrame, earlier: DataFrame, small: int) -> Data
                     ready.append(a)
         return pd.DataFrame({"node": list(told), "told": list(told.values())})
 
-    done = linked.join(few, "component").select("component", "node", "before", "hit", "hit_before").groupBy("component").applyInPandas(decide, "node bigint, told boolean")
+    done = linked.join(few, "component").select("component", "node", "before", "hit", "hit_before").groupBy("component").applyInPandas(decide, f"node {node_type}, told boolean")
     return materialize(state.join(done, "node", "left").select("node", F.coalesce("accepted", "told").alias("accepted")), "decisions")

@@ -66,6 +66,12 @@ def finished_runs(spark: SparkSession, path: str) -> list[str]:
     return sorted(x for x in found if x.rpartition("/")[2].startswith("run-") and fs.exists(_folder(spark, x + "/_SUCCESS")[0]))
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds, sorted."""
+    p, fs = _folder(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p))
+
+
 def mark_finished(spark: SparkSession, path: str) -> None:
     """Put the marker of success into a run of several tables, once all of them are written."""
     p, fs = _folder(spark, path + "/_SUCCESS")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillgrid.plans.materialize import scratch_path
 from quillgrid.plans.registry import query, table
+from quillgrid.sources.readers import read_current
 from quillgrid.streaming import jobs as J
 
 
@@ -49,7 +50,7 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "stream-upsert")
     J.upsert_each_batch(_stream(spark, d).select("user_id", "event_id", "ts", "value"), path, ["user_id"], ["ts", "event_id"])
-    return spark.read.parquet(path).select("user_id", "event_id", "value")
+    return read_current(spark, path).select("user_id", "event_id", "value")
 
 
 @query("SELECT event_id, event_type, CASE WHEN value >= CASE event_type WHEN 'error' THEN 50 ELSE 90 END THEN 'critical' ELSE 'warning' END AS severity FROM events WHERE (event_type = 'error' AND value >= 20) OR (event_type = 'purchase' AND value >= 60)")

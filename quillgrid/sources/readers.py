@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillgrid.operators.documents import document_shape, parsed
+from quillgrid.plans.materialize import child_names, finished_runs
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -19,12 +20,59 @@ def split_corrupt(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataF
     return docs.where(good), docs.where(~good | F.col(text).isNull())
 
 
+def with_format(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with ``format`` (json or text) and ``content``: that of a JSON object under its name, else the whole text."""
+    is_json = F.ltrim(text).startswith("{")
+    content = F.when(is_json, F.try_variant_get(parsed(F.col(text)), "$.content", "string")).otherwise(F.col(text))
+    return rows.select("*", F.when(is_json, "json").otherwise("text").alias("format"), content.alias("content"))
+
+
 def read_quality_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, format, content): JSON objects keep their text, anything else is its own content."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    is_json = F.ltrim("text").startswith("{")
-    content = F.when(is_json, F.try_variant_get(parsed(F.col("text")), "$.content", "string")).otherwise(F.col("text"))
-    return rows.select("*", F.when(is_json, "json").otherwise("text").alias("format"), content.alias("content"))
+    return with_format(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")))
+
+
+# Names under which a search response has its list, and a documentation response its text.
+RESULT_NAMES = ("results", "libraries", "data", "items")
+TEXT_NAMES = ("content", "documentation", "text", "body")
+
+
+def search_rows(responses: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(*keep, library_id, name, description, trust_score, stars): the libraries of each response, which is a list, an
+    object with a list under one of several names, or a single object. What has no library_id or id gives no row."""
+    v = F.try_parse_json(F.col(text))
+    kind = F.schema_of_variant(v)
+    nested = F.coalesce(*[F.try_variant_get(v, f"$.{n}", "array<variant>") for n in RESULT_NAMES])
+    items = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.coalesce(nested, F.array(v)))
+    got = lambda path, kind: F.try_variant_get(F.col("_v"), path, kind)
+    out = responses.select(*keep, F.explode(items).alias("_v")).select(
+        *keep,
+        F.coalesce(got("$.library_id", "string"), got("$.id", "string")).alias("library_id"),
+        F.coalesce(got("$.name", "string"), got("$.title", "string")).alias("name"),
+        got("$.description", "string").alias("description"),
+        got("$.trust_score", "double").alias("trust_score"),
+        got("$.stars", "bigint").alias("stars"),
+    )
+    return out.where("library_id is not null")
+
+
+def response_text(response: Column) -> Column:
+    """The text of a documentation response: a JSON string's own, an object's under one of several names, else the response
+    as it is."""
+    v = F.try_parse_json(response)
+    named = [F.try_variant_get(v, f"$.{n}", "string") for n in TEXT_NAMES]
+    own = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.coalesce(*named, own, response)
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a store of :func:`quillgrid.sources.writers.write_upsert`: of each bucket the newest finished version."""
+    newest: dict[str, str] = {}
+    for run in finished_runs(spark, path):
+        for bucket in child_names(spark, run):
+            if bucket.startswith("_bucket="):
+                newest[bucket] = f"{run}/{bucket}"
+    return spark.read.parquet(*newest.values())
 
 
 def read_checked(spark: SparkSession, path: str, checksums: DataFrame | None = None) -> DataFrame:

@@ -62,10 +62,59 @@ def ordered_json(text: str | None) -> str | None:
     try:
         value = json.loads(text, object_pairs_hook=_Object, parse_int=str, parse_float=str, parse_constant=str)
         return _ordered(value) if isinstance(value, _Object) else None
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return _ordered_deep(text)
+    except ValueError:
         return None
 
 
+#: One mark, string or bare word of a JSON text.
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|([^\s{}\[\],:"]+))')
+
+
+def _ordered_deep(text: str) -> str | None:
+    """:func:`ordered_json` for objects nested too deeply for the parser: open objects and arrays are kept on a list."""
+    open_ones: list[tuple[bool, list[str]]] = []  # (object?, members so far); a member of an object waits as its key
+    key: list[str | None] = []
+    at, expect, done = 0, "value", None
+    end = len(text.rstrip(" \t\n\r"))
+    while at < end:
+        found = _TOKEN.match(text, at)
+        if not found or done is not None:
+            return None
+        at, (mark, string, word) = found.end(), found.groups()
+        closed = None
+        if mark in ("{", "[") and expect in ("value", "first"):
+            open_ones.append((mark == "{", []))
+            key.append(None)
+            expect = "first key" if mark == "{" else "first"
+        elif mark in ("}", "]") and open_ones and expect in ("next", "first key" if mark == "}" else "first") and open_ones[-1][0] == (mark == "}"):
+            is_object, members = open_ones.pop()
+            key.pop()
+            closed = "{" + SEPARATOR.join(sorted(members)) + "}" if is_object else "[" + SEPARATOR.join(members) + "]"
+        elif mark == "," and expect == "next":
+            expect = "key" if open_ones[-1][0] else "value"
+        elif mark == ":" and expect == "colon":
+            expect = "value"
+        elif string and expect in ("key", "first key"):
+            key[-1], expect = _JUNK.sub("", json.loads(string).upper()), "colon"
+        elif (string or word) and expect in ("value", "first"):
+            try:
+                value = json.loads(string or word, parse_int=str, parse_float=str, parse_constant=str)
+            except ValueError:
+                return None
+            closed = _JUNK.sub("", (value if isinstance(value, str) else json.dumps(value)).upper())
+        else:
+            return None
+        if closed is not None:
+            if not open_ones:
+                done = closed
+            else:
+                open_ones[-1][1].append(key[-1] + ":" + closed if open_ones[-1][0] else closed)
+                expect = "next"
+    return done if done is not None and done.startswith("{") else None
+
+
 @F.pandas_udf(T.StringType())
 def _ordered_json_udf(texts: pd.Series) -> pd.Series:
     return texts.map(ordered_json, na_action="ignore").astype(object).where(lambda s: s.notna(), None)

@@ -44,6 +44,17 @@ def test_one_flat_form_with_several_ordered_ones(spark):
     assert {tuple(r) for r in canonical.copies_found(canonical.formatting_groups(df)).collect()} == {("1", "2"), ("1", "3"), ("1", "4")}
 
 
+def test_json_of_any_depth(spark):
+    """Objects nested 20,000 levels deep are ordered like others; broken ones aren't objects."""
+    deep = lambda inner, n: '{"b": 1, "a": ' * n + inner + "}" * n
+    for text in ('{"b": {"y": 1, "x": [1, 2.50, "a_b"]}, "a": "T"}', '{"a": [], "b": {}, "c": [{"z": null, "y": true}]}', deep('"x"', 30), '{"a" 1}', '{"a": 1,}', "[1]", '{"a": 1} 2', '{"a": tru}', '{"k": "\\u00e9"}', "{}", '{"a": [1,]}'):
+        assert canonical._ordered_deep(text) == canonical.ordered_json(text), text
+    one, two = deep('{"d": 1, "c": "X"}', 20_000), deep('{"c": "x", "d": 1}', 20_000)
+    assert canonical.ordered_json(one) == canonical.ordered_json(two) is not None and canonical.ordered_json(one[:-1]) is None
+    df = spark.createDataFrame([("1", "t", one), ("2", "T", two)], "entry_id string, title string, content string")
+    assert {tuple(r) for r in canonical.copies_found(canonical.formatting_groups(df)).collect()} == {("1", "2")}
+
+
 @pytest.mark.parametrize("hot_list", [2_000, 2])
 def test_near_duplicates(entries, monkeypatch, hot_list):
     rows, df = entries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -11,6 +12,11 @@ from quillgrid.functions import patterns as P
 SPACE = r"[ \t\n\r\f]+"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it; inside a lambda it would be each time."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def zero_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 

@@ -53,8 +53,9 @@ def word_sets(df: DataFrame, block: list[str], id_col: str, words: Column) -> Da
     """(*block, id, words, class_id): rows with a non-empty set of words; ``class_id`` is the smallest id of the rows of
     the block that have the same set. Null ids and empty sets have no row."""
     rows = df.where(F.col(id_col).isNotNull()).select(*block, F.col(id_col).alias("id"), F.array_sort(F.array_distinct(words)).alias("words")).where(F.size("words") > 0)
-    least = rows.groupBy(*block, "words").agg(F.min("id").alias("class_id"))
-    return join_null_safe(rows, least, [*block, "words"]).select(*block, "id", "words", "class_id")
+    rows = rows.withColumn("_h", F.md5(F.array_join("words", "\x01")))  # sets are grouped by a 128-bit hash, not by themselves
+    least = rows.groupBy(*block, "_h").agg(F.min("id").alias("class_id"))
+    return join_null_safe(rows, least, [*block, "_h"]).select(*block, "id", "words", "class_id")
 
 
 def similar_classes(sets: DataFrame, block: list[str], threshold: float) -> DataFrame:
@@ -84,6 +85,13 @@ def space_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), X.SPACE), lambda w: w != "")
 
 
+def word_shingles(text: Column, n: int = 5) -> Column:
+    """Runs of ``n`` words of :func:`space_words`; a text of fewer words has one run of all of them, one of none has none."""
+    start = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+    runs = X.let(space_words(text), lambda w: F.transform(start(w), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
+    return F.filter(runs, lambda x: x != "")
+
+
 def similar_pairs(df: DataFrame, block: list[str], id_col: str, text: str, threshold: float) -> DataFrame:
     """:func:`similar_classes` of the texts' words; ids of pairs are those of classes of equal sets."""
     return similar_classes(word_sets(df, block, id_col, space_words(F.col(text))), block, threshold)
@@ -134,7 +142,8 @@ def entry_cascade(df: DataFrame, library: str, entry_id: str) -> DataFrame:
     """Entries kept when, taken by id within their library, they repeat no entry kept before: the same content, a title
     more than 0.9 alike, for code contents more than 0.8 alike, for others title and description more than 0.8 alike.
 
-    The links come from joins over hashes and over rare words, and rows are decided in rounds over them, so a library of a
+    Of entries with equal sets of words the first stands for all: others are compared with it, not with each copy. The
+    links come from joins over hashes and over rare words, and rows are decided in rounds over them, so a library of a
     third of all rows is no single task. Rows with a null id or library are kept.
     """
     rows = df.where(F.col(entry_id).isNotNull() & F.col(library).isNotNull())

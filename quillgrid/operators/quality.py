@@ -55,9 +55,14 @@ def quality_dimensions(df: DataFrame, row_id: str, text: str) -> DataFrame:
 def pair_similarity(a: Column, b: Column) -> Column:
     """Cosine of two texts' tf-idf vectors, with the two as the whole collection; 0 where either has no term."""
     words = lambda t: F.filter(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(*P.STOP_WORDS))
-    wa, wb = words(a), words(b)
+    return X.let(F.struct(words(a).alias("a"), words(b).alias("b")), lambda t: _cosine(t["a"], t["b"]))
+
+
+def _cosine(wa: Column, wb: Column) -> Column:
     weight = lambda w: F.log(F.lit(3.0) / (1 + F.array_contains(wa, w).cast("int") + F.array_contains(wb, w).cast("int"))) + 1
     value = lambda own, w: F.size(F.filter(own, lambda x: x == w)) * weight(w)
     pairs = F.transform(F.array_union(wa, wb), lambda w: F.struct(value(wa, w).alias("x"), value(wb, w).alias("y")))
-    sums = F.aggregate(pairs, F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy")), lambda s, p: F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy")))
-    return F.when((sums["xx"] > 0) & (sums["yy"] > 0), sums["xy"] / (F.sqrt(sums["xx"]) * F.sqrt(sums["yy"]))).otherwise(0.0)
+    zero = F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"))
+    add = lambda s, p: F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy"))
+    end = lambda s: F.when((s["xx"] > 0) & (s["yy"] > 0), s["xy"] / (F.sqrt(s["xx"]) * F.sqrt(s["yy"]))).otherwise(0.0)
+    return F.aggregate(pairs, zero, add, end)

@@ -142,20 +142,21 @@ def fallback_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).where("content is not null").select("entry_id", X.description_lines(F.col("content")).alias("description"))
 
 
-_SET = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '[ \t\n\r\f]+'), lambda w: w <> '')))"
+_WORDS = "list_filter(regexp_split_to_array(lower(content), '[ \t\n\r\f]+'), lambda w: w <> '')"
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT entry_id, {_SET} AS w, length(content) AS size FROM documentation_entry WHERE content IS NOT NULL), c AS (SELECT w, min(entry_id) AS k FROM s WHERE len(w) > 0 GROUP BY 1),
-    p AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.w, b.w))::double AS c, len(a.w) + len(b.w) AS n FROM c a JOIN c b ON a.k <> b.k AND len(a.w) >= len(b.w) * 0.85 AND len(b.w) >= len(a.w) * 0.85),
-    e AS (SELECT a, b FROM p WHERE c / (n - c) >= 0.85 - 1e-9), r AS (SELECT k AS node, k AS reach FROM c UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
+@query(f"""WITH RECURSIVE v AS (SELECT entry_id, length(content) AS size, {_WORDS} AS v FROM documentation_entry WHERE content IS NOT NULL), s AS (SELECT entry_id, size, list_sort(list_distinct(list_transform(range(1, 1 + greatest(len(v) - 4, 1)), lambda i: array_to_string(v[i:i + 4], ' ')))) AS w FROM v WHERE len(v) > 0),
+    c AS (SELECT w, min(entry_id) AS k FROM s GROUP BY 1), u AS (SELECT k, len(w) AS n, unnest(w) AS x FROM c), p AS (SELECT a.k AS a, b.k AS b, count(*)::double AS c, any_value(a.n + b.n) AS n FROM u a JOIN u b ON a.x = b.x AND a.k <> b.k GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p WHERE c / (n - c) >= 0.8 - 1e-9), r AS (SELECT k AS node, k AS reach FROM c UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
     g AS (SELECT node, min(reach) AS component FROM r GROUP BY node), m AS (SELECT s.entry_id, s.size, g.component FROM s JOIN c USING (w) JOIN g ON g.node = c.k),
     kept AS (SELECT entry_id FROM m QUALIFY row_number() OVER (PARTITION BY component ORDER BY size DESC, entry_id) = 1)
-    SELECT entry_id FROM documentation_entry WHERE entry_id IN (FROM kept) OR content IS NULL OR len({_SET}) = 0""")
+    SELECT entry_id FROM documentation_entry WHERE entry_id IN (FROM kept) OR entry_id NOT IN (SELECT entry_id FROM s)""")
 def near_copies_merged(spark: SparkSession, d: str) -> DataFrame:
-    """Entries after near copies of whole contents (word sets of 0.85 or more alike) have been merged into the longest."""
+    """Entries after near copies of whole contents (0.8 of their runs of five words in common) have been merged into the
+    longest."""
     rows = _entries(spark, d)
-    sets = D.word_sets(rows, [], "entry_id", D.space_words(F.col("content")))
-    groups = D.similar_groups(sets, D.similar_classes(sets, [], 0.85))
+    sets = D.word_sets(rows, [], "entry_id", D.word_shingles(F.col("content")))
+    groups = D.similar_groups(sets, D.similar_classes(sets, [], 0.8))
     return D.representatives(rows.select("entry_id", "content"), groups, "entry_id", F.length("content")).select("entry_id")
 
 

@@ -183,11 +183,12 @@ def compact_stars(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, _EMB).select("id", X.compact_number(F.col("star_count")).alias("stars"))
 
 
-@query("WITH j AS (SELECT job_id, lower(error_message) AS m FROM ingestion_job WHERE error_message IS NOT NULL), k AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN '{k}'" for k, p in P.ERROR_KINDS) + " ELSE 'unknown' END AS kind FROM j) SELECT kind, count(*) AS n, round(count(*)::double / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY kind")
+@query("WITH j AS (SELECT job_id, lower(error_message) AS m FROM ingestion_job WHERE error_message IS NOT NULL UNION ALL SELECT entry_id, lower(content) FROM documentation_entry WHERE content IS NOT NULL), k AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN '{k}'" for k, p in P.ERROR_KINDS) + " ELSE 'unknown' END AS kind FROM j) SELECT kind, count(*) AS n, round(count(*)::double / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY kind")
 def error_kinds(spark: SparkSession, d: str) -> DataFrame:
     from quillgrid.operators.statistics import value_shares
 
-    rows = table(spark, d, "ingestion_job").where("error_message is not null").select(X.error_kind(F.col("error_message")).alias("kind"))
+    messages = table(spark, d, "ingestion_job").select("error_message").union(table(spark, d, _ENTRIES).select("content"))  # contents stand for messages of other kinds
+    rows = messages.where("error_message is not null").select(X.error_kind(F.col("error_message")).alias("kind"))
     return value_shares(rows, "kind").select("kind", "n", F.round("share", 6).alias("share"))
 
 
@@ -244,11 +245,12 @@ def json_sections(spark: SparkSession, d: str) -> DataFrame:
     return documents.section_facts(documents.sections(rows, "entry_id", "content"))
 
 
-@query("""WITH k AS (SELECT job_id, json_keys(metadata) AS ks FROM ingestion_job WHERE metadata IS NOT NULL)
-    SELECT CASE WHEN len(list_intersect(ks, ['contexts', 'library_info', 'documentation_sections', 'total_tokens'])) >= 2 THEN 'tool_output' WHEN len(list_intersect(ks, ['name', 'version', 'description', 'installation', 'api_reference'])) >= 3 THEN 'standard_library'
+@query("""WITH m AS (SELECT metadata FROM ingestion_job WHERE metadata IS NOT NULL UNION ALL SELECT content FROM documentation_entry WHERE content IS NOT NULL), k AS (SELECT CASE WHEN ltrim(metadata) LIKE '{%' AND json_valid(metadata) THEN json_keys(metadata) END AS ks FROM m)
+    SELECT CASE WHEN ks IS NULL THEN 'raw_text' WHEN len(list_intersect(ks, ['contexts', 'library_info', 'documentation_sections', 'total_tokens'])) >= 2 THEN 'tool_output' WHEN len(list_intersect(ks, ['name', 'version', 'description', 'installation', 'api_reference'])) >= 3 THEN 'standard_library'
     WHEN len(list_intersect(ks, ['content', 'documentation', 'text', 'body', 'readme', 'docs', 'sections', 'title'])) >= 1 THEN 'generic_documentation' ELSE 'unknown' END AS shape, count(*) AS n FROM k GROUP BY 1""")
 def document_shapes(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "ingestion_job").where("metadata is not null").select(documents.document_shape(F.col("metadata")).alias("shape"))
+    texts = table(spark, d, "ingestion_job").select("metadata").union(table(spark, d, _ENTRIES).select("content")).where("metadata is not null")
+    rows = texts.select(documents.document_shape(F.col("metadata")).alias("shape"))
     return rows.groupBy("shape").agg(F.count("*").alias("n"))
 
 

@@ -32,12 +32,47 @@ def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     return _last_batch(out, ["window_start", "user_id"]).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "n")
 
 
-@query("""WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 1800000000, true)::int AS new FROM events),
-    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS window_start, count(*) AS n FROM s GROUP BY user_id, session""")
+_SESSIONS = """WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 1800000000, true)::int AS new FROM {rows}),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS window_start, count(*) AS n, max(value) AS most FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {rows})"""
+
+
+def _sessions(stream: DataFrame, name: str) -> DataFrame:
+    """Sessions that the watermark has closed; state holds the open ones only."""
+    out = J.run_to_table(J.sessions(stream, ["user_id"], "ts", "30 minutes", "1 hour", {"n": F.count("*"), "most": F.max("value")}), name)
+    return out.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "most")
+
+
+@query(_SESSIONS.format(rows="events"))
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
-    out = J.run_to_table(J.sessions(_stream(spark, d), ["user_id"], "ts", "30 minutes", "1 hour", {"n": F.count("*")}), "session", "complete")
-    newest = out.where(F.col("_batch") == F.lit(out.agg(F.max("_batch")).first()[0]))
-    return newest.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+    return _sessions(_stream(spark, d), "session")
+
+
+@query(_SESSIONS.format(rows="(FROM events WHERE value >= 60)"))
+def stream_alert_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of one user that follow each other within half an hour are one alert with its count and worst value."""
+    return _sessions(_stream(spark, d).where("value >= 60"), "alert-runs")
+
+
+#: Days of events that arrive together in stream_late.
+_PART = 5
+
+
+@query(f"""WITH e AS (SELECT *, (date_diff('day', (SELECT min(ts) FROM events)::date, ts::date) // {_PART}) + (event_type = 'error' AND value < 20)::int AS batch FROM events), m AS (SELECT batch, max(ts) AS top FROM e GROUP BY 1),
+    w AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 1 HOUR AS mark FROM m), k AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, value FROM e JOIN w USING (batch) WHERE mark IS NULL OR time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > mark)
+    SELECT window_start, count(*) AS n, round(sum(value), 6) AS total FROM k GROUP BY 1""")
+def stream_late(spark: SparkSession, d: str) -> DataFrame:
+    """Events that arrive some days at a time, small errors a part too late: what is behind the watermark of the batch before
+    is dropped, so rows late by one part still count while their window is open."""
+    rows = table(spark, d, "events")
+    first = rows.agg(F.min("ts").alias("t")).first()["t"]
+    part = F.floor(F.datediff(F.col("ts").cast("date"), F.lit(first).cast("date")) / _PART) + F.coalesce((F.col("event_type") == "error") & (F.col("value") < 20), F.lit(False)).cast("int")
+    path = scratch_path(spark, "arriving")
+    parts = sorted(r[0] for r in rows.select(part.alias("p")).distinct().collect())  # one number for each part of the time
+    for p in parts:
+        rows.where(part == p).coalesce(1).write.mode("append").parquet(path)  # one file each, in order of their times
+    stream = J.event_stream(spark, path, rows.schema, files_per_trigger=1)
+    out = J.run_to_table(J.windowed(stream, [], "ts", "1 hour", None, "1 hour", {"n": F.count("*"), "total": F.sum("value")}), "late", "update")
+    return _last_batch(out, ["window_start"]).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("total", 6).alias("total"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

@@ -255,6 +255,8 @@ def fit_topics(documents: DataFrame, words: Vocabulary, topics: int = TOPICS, st
     """
     spark = documents.sparkSession
     models = first_models(documents, words, topics, seed)
+    if not models:
+        return {}
     lookup = _lookups(models, words.kept)
     parts = {k: max(1, min(PARTS, words.documents[k] // PART_DOCUMENTS)) for k in models}
     spread = F.lit(1)

@@ -17,8 +17,11 @@ FIELDS = ("TITLE", "DESCRIPTION", "SOURCE", "LANGUAGE", "CODE")
 
 
 def parsed(text: Column) -> Column:
-    """A JSON text as VARIANT; trailing commas are mended where the text doesn't parse otherwise; null for the rest."""
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.regexp_replace(text, r",(\s*[}\]])", "$1")))
+    """A JSON text as VARIANT; where it doesn't parse, trailing commas are dropped, then quotes inside strings (those next to
+    no bracket, colon or comma) are escaped; null for what doesn't parse even so."""
+    no_commas = F.regexp_replace(text, r",(\s*[}\]])", "$1")
+    quoted = F.regexp_replace(no_commas, r'(?<![\[{:,]\s{0,9})(?<!^)(?<!\\)"(?!\s*([\]}:,]|$))', r'\\"')
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(no_commas), F.try_parse_json(quoted))
 
 
 def document_shape(text: Column) -> Column:

@@ -51,6 +51,12 @@ def test_responses(spark):
     assert [r.x for r in docs.select(readers.response_text(F.col("t")).alias("x")).collect()] == ["quoted \n text", "b", "c", '{"other": 1}', "plain", None]
 
 
+def test_broken_json_is_mended(spark):
+    texts = ['{"a": "he said "hi" to me", "b": [1, 2,],}', '{"a": "x\\"y"}', '{"a": }', "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.try_variant_get(documents.parsed(F.col("t")), "$.a", "string").alias("a"))
+    assert [r.a for r in df.collect()] == ['he said "hi" to me', 'x"y', None, None, None]
+
+
 def test_keyed_store_rewrites_only_touched_buckets(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     rows = lambda *r: spark.createDataFrame(list(r), "k string, v int, at int")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillgrid.llm import batch_history, boilerplate, canonical, near_duplicates, packing, subjects, token_budget, tokenizer
+from quillgrid.llm import batch_history, boilerplate, canonical, near_duplicates, packing, pair_sql, subjects, token_budget, tokenizer
 from quillgrid.plans.materialize import materialize
 
 CUTOFF = "2026-03-01 00:00:00"
@@ -170,6 +170,10 @@ def oracle_sql() -> dict[str, str]:
     cell = "coalesce(d.library_id, '(unknown)') AS library_id, coalesce(a.language, '(unknown)') AS language, coalesce(i.category, '(unknown)') AS category"
     update = f"WITH {rows}, {alias} SELECT {cell}, count(*) AS documents, 0::bigint AS token_drift FROM d LEFT JOIN a ON lower(trim(d.programming_language)) = a.alias LEFT JOIN library_info i ON d.library_id = i.library_id GROUP BY 1, 2, 3"
     return {
+        "p1_found": pair_sql.P1_FOUND,
+        "p1_copies": pair_sql.P1_COPIES,
+        "p2_found": pair_sql.p2_found(CUTOFF),
+        "p5_found": pair_sql.P5_FOUND,
         "p3_clean": clean,
         "p4_update": update,
         "p6_covered": "SELECT doc_id, coalesce(n_chars, 0) AS n_chars FROM documents",

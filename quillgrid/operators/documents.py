@@ -26,7 +26,7 @@ def parsed(text: Column) -> Column:
 
 def document_shape(text: Column) -> Column:
     """tool_output, standard_library, generic_documentation, unknown (other objects), raw_text (anything else)."""
-    keys = F.json_object_keys(F.when(F.trim(text).startswith("{"), text))
+    keys = F.json_object_keys(F.when(text.rlike(r"^\s*\{"), text))
     shared = lambda names: F.size(F.array_intersect(keys, F.array(*[F.lit(n) for n in names])))
     return (
         F.when(keys.isNull(), "raw_text")
@@ -102,8 +102,6 @@ def split_entries(df: DataFrame, doc_id: str, text: str, least: int = 20) -> Dat
     rows = parts.select("doc_id", "_no", F.when(F.col("_no") > 0, F.trim(head)).otherwise("").alias("section"), body.alias("_body"))
     cut = rows.select("doc_id", "_no", "section", F.posexplode(F.split("_body", r"(?m)^-{30,}$")).alias("_i", "_entry")).withColumn("entry", F.trim(F.regexp_replace("_entry", r"^\s+|\s+$", "")))
     kept = cut.where(F.length("entry") >= least)
-
-
     return kept.select("doc_id", "section", (F.row_number().over(Window.partitionBy("doc_id").orderBy("_no", "_i")) - 1).alias("entry_no"), "entry")
 
 

@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillgrid.operators.ordered import in_order, with_carry, with_halo, within
 from quillgrid.operators.relational import join_null_safe
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """(*keys, n, name...): the value at index int(n * share) of the sorted values, for each named share; exact.
 
-    Null values are left out. Sketches with map-side merging bracket each rank by two values; what lies below the
-    bracket is counted, and only values inside it (a few of ``accuracy`` parts of a key's rows, equal values combined) are
-    put in order. So a key of a third of all rows is never sorted as a whole.
+    Null values are left out.
+    """
+    ranks = {name: (s, lambda n, s=s: F.least(F.floor(n * F.lit(float(s))), n - 1)) for name, s in shares.items()}
+    return values_at(df, keys, value, ranks, accuracy)
+
+
+def median(df: DataFrame, keys: list[str], value: str, accuracy: int = 10_000) -> DataFrame:
+    """(*keys, n, median): the middle value, or the mean of the two; exact. Null values are left out."""
+    both = values_at(df, keys, value, {"_lo": (0.5, lambda n: F.floor((n - 1) / 2)), "_hi": (0.5, lambda n: F.ceil((n - 1) / 2))}, accuracy)
+    return both.select(*keys, "n", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
+
+
+def values_at(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[float, Callable[[Column], Column]]], accuracy: int) -> DataFrame:
+    """(*keys, n, name...): for each name a share and the index near it, told from n, of the value to take.
+
+    Sketches with map-side merging bracket each rank by two values; what lies below the bracket is counted, and only
+    values inside it (a few of ``accuracy`` parts of a key's rows, equal values combined) are put in order. So a key of
+    a third of all rows is never sorted as a whole.
     """
-    names, rows = list(shares), df.where(F.col(value).isNotNull()).select(*keys, value)
-    edges = [min(1.0, max(0.0, s + d)) for s in shares.values() for d in (-2 / accuracy, 2 / accuracy)]
+    names, rows = list(ranks), df.where(F.col(value).isNotNull()).select(*keys, value)
+    edges = [min(1.0, max(0.0, s + d)) for s, _ in ranks.values() for d in (-2 / accuracy, 2 / accuracy)]
     found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx(value, edges, accuracy).alias("_e"))
     near = join_null_safe(rows, found, keys)
     inside = F.array_compact(F.array(*[F.when(F.col(value).between(F.col("_e")[2 * i], F.col("_e")[2 * i + 1]), F.lit(i)) for i in range(len(names))]))
@@ -24,7 +42,7 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, f
     exploded = counted.select(*keys, value, "_c", F.explode("_in").alias("_i"))
     joined = join_null_safe(exploded, below, keys).withColumn("_b", F.array(*[F.col(f"_b{i}") for i in range(len(names))]))
     upto = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy(value))
-    wanted = F.least(F.floor(F.col("n") * F.array(*[F.lit(float(s)) for s in shares.values()])[F.col("_i")]), F.col("n") - 1)
+    wanted = F.array(*[index(F.col("n")) for _, index in ranks.values()])[F.col("_i")]
     hit = joined.withColumn("_to", F.col("_b")[F.col("_i")] + upto).where((F.col("_to") > wanted) & (F.col("_to") - F.col("_c") <= wanted))
     return hit.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_i") == i, F.col(value))).alias(name) for i, name in enumerate(names)])
 
@@ -60,14 +78,20 @@ def numeric_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def running_mean(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running_mean", F.avg(value).over(w))
+    """``df`` with the mean of each key's values so far as ``running_mean``; nulls don't count, null keys are one key."""
+    rows = with_carry(in_order(df.drop("running_mean"), keys, order), keys, {"_sum": F.sum(value), "_n": F.count(value)}, F.sum)
+    w = within(keys, order)
+    total = F.coalesce("_sum", F.lit(0)) + F.coalesce(F.sum(value).over(w), F.lit(0))
+    n = F.coalesce("_n", F.lit(0)) + F.count(value).over(w)
+    return rows.withColumn("running_mean", F.when(n > 0, total / n)).drop("_sum", "_n", "_p")
 
 
 def last_n(df: DataFrame, keys: list[str], order: list[str], value: str, n: int) -> DataFrame:
     """Mean and maximum of the last ``n`` values, the current one included."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return df.withColumn("last_mean", F.avg(value).over(w)).withColumn("last_max", F.max(value).over(w))
+    rows = in_order(df, keys, order)
+    rows = with_halo(rows, keys, order, n - 1) if n > 1 else rows.withColumn("_halo", F.lit(False))
+    w = Window.partitionBy("_p", *keys).orderBy(*order).rowsBetween(-(n - 1), 0)
+    return rows.withColumn("last_mean", F.avg(value).over(w)).withColumn("last_max", F.max(value).over(w)).where("not _halo").drop("_halo", "_p")
 
 
 def trend(df: DataFrame, keys: list[str], order: list[str], value: str, n: int = 10, flat: float = 0.1) -> DataFrame:
@@ -83,11 +107,11 @@ def moving_average(df: DataFrame, keys: list[str], order: str, value: str, keep:
 
     The fold needs the order, so it is a weighted sum: the weight of a value depends only on how many come after it.
     """
-    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))) - 1
-    size = F.count("*").over(Window.partitionBy(*keys))
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value, back.alias("_b"), size.alias("n"))
-    weight = F.pow(F.lit(keep), F.col("_b")) * F.when(F.col("_b") == F.col("n") - 1, 1.0).otherwise(1 - keep)
-    return rows.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(weight * F.col(value)).alias("ema"))
+    rows = in_order(df.where(F.col(value).isNotNull()).select(*keys, value, F.col(order).alias("_o")), keys, ["_o"])
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    placed = with_carry(rows, keys, {"_c": F.count("*")}, F.sum).withColumn("_i", F.coalesce("_c", F.lit(0)) + F.row_number().over(Window.partitionBy("_p", *keys).orderBy("_o")))
+    weight = F.pow(F.lit(keep), F.col("n") - F.col("_i")) * F.when(F.col("_i") == 1, 1.0).otherwise(1 - keep)
+    return join_null_safe(placed, sizes, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.sum(weight * F.col(value)).alias("ema"))
 
 
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillgrid.functions import patterns as P, vectors as V
-from quillgrid.operators import enrich as E
+from quillgrid.operators import enrich as E, statistics as ST
+from quillgrid.operators.relational import join_null_safe
 from quillgrid.plans.registry import query, table
 
 _NO = ", ".join(f"'{k}'" for k in E.NO_KEYS)
@@ -93,5 +94,8 @@ def document_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.5), 6) AS p50 FROM events GROUP BY 1, 2""")
 def daily_metrics(spark: SparkSession, d: str) -> DataFrame:
-    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day")
-    return table(spark, d, "events").groupBy(day, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.percentile("value", 0.5), 6).alias("p50"))
+    rows = table(spark, d, "events").select(F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day"), "event_type", "value")
+    keys = ["day", "event_type"]
+    every = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
+    middle = ST.median(rows, keys, "value").select(*keys, F.round("median", 6).alias("p50"))
+    return join_null_safe(every, middle, keys, "left")

@@ -241,7 +241,7 @@ def entry_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def json_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, _ENTRIES).where(F.ltrim("content").startswith("{"))
+    rows = table(spark, d, _ENTRIES).where(F.col("content").rlike(r"^\s*[\[{]"))
     return documents.section_facts(documents.sections(rows, "entry_id", "content"))
 
 

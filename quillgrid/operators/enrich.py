@@ -91,6 +91,11 @@ def query_intent(query: Column) -> Column:
     return F.when(rule(r"^(how|why)[^a-z]|how to"), "howto").when(rule(r"error|fail|fix|problem|issue"), "troubleshooting").when(rule(r"api|reference|parameter|notes on"), "reference").when(rule(r"example|sample|demo"), "example").otherwise("lookup")
 
 
+def clamp(n: int, least: int = 1, most: int = 50) -> int:
+    """A wished number of results within its bounds."""
+    return max(least, min(most, n))
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of ``size`` rows in a total order."""
     if number < 1 or size < 1:

@@ -56,3 +56,10 @@ def with_halo(rows: DataFrame, keys: list[str], order: list[str], n: int) -> Dat
     halo = tails.withColumn("_r", F.explode(F.sequence(F.col("_r") + 1, F.col("_r") + n)))
     own = numbered.select(*rows.columns, F.lit(False).alias("_halo"), "_r")
     return own.unionByName(halo.select(*rows.columns, F.lit(True).alias("_halo"), "_r")).drop("_p").withColumnRenamed("_r", "_p")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row among those of its keys, from 0; a column of that name is replaced."""
+    rows = with_carry(in_order(df.drop(name), keys, order), keys, {"_passed_rows": F.count("*")}, F.sum)
+    place = F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*order)) - 1
+    return rows.withColumn(name, F.coalesce("_passed_rows", F.lit(0)) + place).drop("_passed_rows", "_p")

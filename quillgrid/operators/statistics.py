@@ -117,3 +117,13 @@ def moving_average(df: DataFrame, keys: list[str], order: str, value: str, keep:
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
     """(bin, n): values by bins of one width; null values are left out."""
     return df.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / width).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def histogram_texts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(*keys, values, histogram, repeated): how many distinct values, each with its number as a=2,b=1, and those met more
+    than once. Values are counted before they are gathered, so a list holds distinct ones only; meant for small domains."""
+    each = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    lists = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("string").alias("v"), "_n"))).alias("_l"))
+    text = F.array_join(F.transform("_l", lambda x: F.concat(x["v"], F.lit("="), x["_n"].cast("string"))), ",")
+    often = F.array_join(F.transform(F.filter("_l", lambda x: x["_n"] > 1), lambda x: x["v"]), ",")
+    return lists.select(*keys, F.size("_l").alias("values"), text.alias("histogram"), often.alias("repeated"))

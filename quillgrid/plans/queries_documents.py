@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillgrid.functions import patterns as P, text as X
-from quillgrid.operators import chunking, dedup as D, documents as DOC, quality as Q
+from quillgrid.operators import chunking, dedup as D, documents as DOC, ordered, quality as Q
 from quillgrid.plans.registry import query, table
 
 
@@ -112,8 +112,7 @@ def exploded_entries(spark: SparkSession, d: str) -> DataFrame:
     pages = rows.withColumn("page", F.pmod(F.xxhash64("entry_id"), F.lit(64)))  # a library's list comes in pages
     lists = pages.groupBy("library_id", "page").agg(F.to_json(F.array_sort(F.collect_list(F.struct("entry_id", "title")))).alias("entries"))
     back = DOC.exploded_list(lists, ["library_id"], "entries", "entry_id string, title string")
-    order = F.row_number().over(Window.partitionBy("library_id").orderBy("entry_id")) - 1
-    return back.select("library_id", "entry_id", order.alias("place"), "title")
+    return ordered.numbered(back, ["library_id"], ["entry_id"], "place").select("library_id", "entry_id", "place", "title")
 
 
 @query("""WITH c AS (SELECT DISTINCT ON (id) id, library_id, version, chunk_index, total_chunks, programming_language, token_count, trust_score, content FROM (SELECT DISTINCT id, library_id, version, chunk_index, total_chunks, programming_language, token_count, trust_score, content, indexed_at FROM document_embedding WHERE id IS NOT NULL) ORDER BY id, indexed_at DESC)

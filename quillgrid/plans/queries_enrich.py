@@ -99,3 +99,32 @@ def daily_metrics(spark: SparkSession, d: str) -> DataFrame:
     every = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
     middle = ST.median(rows, keys, "value").select(*keys, F.round("median", 6).alias("p50"))
     return join_null_safe(every, middle, keys, "left")
+
+
+_AT = "list_sort(list(value))[least(floor(count(value) * {}), count(value) - 1)::int + 1]"
+
+
+@query(f"""SELECT date_trunc('month', ts) AS month, event_type, count(value) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS most, {_AT.format(0.5)} AS p50, {_AT.format(0.95)} AS p95, {_AT.format(0.99)} AS p99
+    FROM events WHERE value IS NOT NULL GROUP BY 1, 2""")
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a metrics table by metric and month: sums, bounds and exact percentiles."""
+    rows = table(spark, d, "events").where("value is not null").select(F.date_trunc("month", F.col("ts")).cast("timestamp_ntz").alias("month"), "event_type", "value")
+    keys = ["month", "event_type"]
+    sums = ST.numeric_summary(rows, keys, "value").select(*keys, F.round("total", 6).alias("total"), "least", "most")
+    ranks = ST.nearest_rank(rows, keys, "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return join_null_safe(sums, ranks, keys)
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 50")
+def largest_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A report for which 80 rows were wished and at most 50 are given."""
+    rows = table(spark, d, "documents").where("n_chars is not null").select("doc_id", "n_chars")
+    return E.page(rows, [F.desc("n_chars"), F.col("doc_id")], 1, E.clamp(80))
+
+
+@query("""WITH g AS (SELECT library_id, version, doc_type, count(*) AS n FROM document_embedding WHERE doc_type IS NOT NULL AND doc_type <> '' GROUP BY 1, 2, 3)
+    SELECT library_id, version, count(*) AS types, string_agg(doc_type || '=' || n, ',' ORDER BY doc_type) AS histogram, coalesce(string_agg(doc_type, ',' ORDER BY doc_type) FILTER (WHERE n > 1), '') AS repeated FROM g GROUP BY 1, 2""")
+def collection_types(spark: SparkSession, d: str) -> DataFrame:
+    """The types of documents of each library's version with their numbers, and those met more than once."""
+    rows = table(spark, d, "document_embedding").where("doc_type is not null and doc_type <> ''")
+    return ST.histogram_texts(rows, ["library_id", "version"], "doc_type").withColumnRenamed("values", "types")

@@ -100,3 +100,17 @@ def stream_moving_average(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = J.run_to_table(J.moving_averages(_stream(spark, d), "user_id", "ts", "value"), "ema", "update")
     return _last_batch(out, ["key"]).select(F.col("key").cast("bigint").alias("user_id"), "n", F.round("ema", 6).alias("ema"))
+
+
+@query("""WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, CASE WHEN value IS NULL THEN 1 WHEN value >= 90 THEN 3 WHEN value >= 60 THEN 2 ELSE 0 END AS s FROM events),
+    w AS (SELECT window_start, event_type, count(*) AS checks, sum((s = 2)::int)::bigint AS warnings, sum((s = 3)::int)::bigint AS failed, ['healthy', 'unknown', 'warning', 'critical'][max(s) + 1] AS worst FROM e GROUP BY 1, 2)
+    SELECT * FROM w WHERE window_start > (SELECT max(window_start) FROM w) - INTERVAL 24 HOUR""")
+def stream_health(spark: SparkSession, d: str) -> DataFrame:
+    """The worst state of each hour, of the last day that the stream has told; older history is let go."""
+    v = F.col("value")
+    state = F.when(v.isNull(), "unknown").when(v >= 90, "critical").when(v >= 60, "warning").otherwise("healthy")
+    out = J.run_to_table(J.health_windows(_stream(spark, d), ["event_type"], "ts", state, "1 hour", "1 hour"), "health", "update")
+    told = _last_batch(out, ["window_start", "event_type"])
+    newest = told.agg(F.max("window_start").alias("_newest"))
+    recent = told.join(F.broadcast(newest)).where(F.col("window_start") > F.col("_newest") - F.expr("interval 24 hours"))  # one row
+    return recent.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "checks", "warnings", "failed", "worst")

@@ -80,6 +80,19 @@ def threshold_alerts(stream: DataFrame, metric: str, value: str, rules: dict[str
     return stream.withColumn("severity", severity).where(F.col("severity").isNotNull())
 
 
+#: States of a check, from the best to the worst.
+STATES = ("healthy", "unknown", "warning", "critical")
+
+
+def health_windows(stream: DataFrame, keys: list[str], ts: str, severity: Column, size: str, late: str) -> DataFrame:
+    """(window_start, window_end, *keys, checks, warnings, failed, worst) of each window; ``severity`` is one of STATES and
+    the worst of a window's states is its own. State is kept until the watermark has passed a window."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in STATES]), severity)
+    count = lambda s: F.sum(F.when(severity == s, 1).otherwise(0))
+    out = windowed(stream, keys, ts, size, None, late, {"checks": F.count("*"), "warnings": count("warning"), "failed": count("critical"), "_worst": F.max(rank)})
+    return out.withColumn("worst", F.element_at(F.array(*[F.lit(s) for s in STATES]), F.col("_worst").cast("int"))).drop("_worst")
+
+
 class MovingAverage(StatefulProcessor):
     """Exponential average of a key's values in the order of their times within each batch, kept between batches."""
 

@@ -6,7 +6,7 @@ import statistics as plain
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.operators import ordered, relational, statistics
+from quillgrid.operators import enrich, ordered, relational, statistics
 
 KEYS = ["hot"] * 8 + ["a", "b", None]
 
@@ -108,3 +108,21 @@ def test_empty(df):
     assert statistics.moving_average(none, ["k"], "t", "v").isEmpty() and statistics.median(none, ["k"], "v").isEmpty()
     assert relational.gaps_and_islands(none.withColumn("at", F.timestamp_seconds("t")), ["k"], "at", 5).isEmpty()
     assert relational.as_of_join(none, df.select("k", F.col("t").alias("u"), F.col("n").alias("m")), ["k"], "t", "u", ["m"]).isEmpty()
+
+
+def test_numbered(df, rows):
+    got = {r.n: r.place for r in ordered.numbered(df, ["k"], ["t", "n"], "place").collect()}
+    for every in by_key(rows).values():
+        assert [got[n] for _, n, _ in every] == list(range(len(every)))
+    assert ordered.numbered(df.limit(0), ["k"], ["t"], "place").isEmpty()
+
+
+def test_histogram_texts(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("a", None), (None, "y"), ("c", None)], "k string, v string")
+    got = {tuple(r) for r in statistics.histogram_texts(rows, ["k"], "v").collect()}
+    assert got == {("a", 2, "x=2,y=1", "x"), (None, 1, "y=1", "")}
+    assert statistics.histogram_texts(rows.limit(0), ["k"], "v").isEmpty()
+
+
+def test_clamp():
+    assert [enrich.clamp(n) for n in (-3, 0, 1, 50, 51)] == [1, 1, 1, 50, 50]

@@ -81,8 +81,8 @@ def field(text: Column, label: str) -> Column:
 
 
 def entry_fields(df: DataFrame, entry_id: str, content: str) -> DataFrame:
-    """(entry_id, title, description, source, language, code) of blocks of labelled fields; a block without a title
-    takes its first telling line."""
+    """(entry_id, title, description, source, language, code) of blocks of labelled fields; a field that a block doesn't
+    have is null, and a text without a label has no row."""
     c = F.col(content)
     rows = df.where(c.rlike(r"(?i)(^|\n)(" + "|".join(FIELDS) + "):"))
     got = [field(c, f).alias(f.lower()) for f in FIELDS]

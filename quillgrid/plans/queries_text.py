@@ -234,11 +234,30 @@ def chunk_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "previous_id", "next_id", "total", F.round("relative_size", 6).alias("relative_size"))
 
 
-@query()
+def _field(label: str) -> str:
+    others = "|".join(documents.FIELDS)
+    return f"nullif(trim(regexp_extract(content, '(?is)(?:^|\\n){label}:[ \\t]*(.*?)(?:\\n(?:{others}):|\\z)', 1), ' ' || chr(9) || chr(10) || chr(13)), '')"
+
+
+@query("SELECT entry_id, " + ", ".join(f"lower({_field(f)}) AS language" if f == "LANGUAGE" else f"{_field(f)} AS {f.lower()}" for f in documents.FIELDS) + f" FROM documentation_entry WHERE regexp_matches(content, '(?i)(^|\\n)({'|'.join(documents.FIELDS)}):')")
 def entry_fields(spark: SparkSession, d: str) -> DataFrame:
     return documents.entry_fields(table(spark, d, _ENTRIES), "entry_id", "content")
 
 
+_OWN = ", ".join(f"'{k}'" for k in documents.METADATA_KEYS)
+_STEP = "(?:\\.(?:\"[^\"]*\"|[^.\\[]+)|\\[[0-9]+\\])"
+
+
+@query(f"""WITH c AS (SELECT entry_id, content FROM documentation_entry WHERE entry_id IS NOT NULL AND json_valid(content) AND json_type(content) IN ('OBJECT', 'ARRAY')),
+    s AS (SELECT c.entry_id AS doc_id, t.fullkey AS k, t.atom ->> '$' AS content FROM c, json_tree(c.content) AS t WHERE t.type = 'VARCHAR')
+    SELECT doc_id, replace(CASE WHEN k LIKE '$.%' THEN substr(k, 3) ELSE substr(k, 2) END, '"', '') AS name, len(regexp_extract_all(k, '{_STEP}'))::int - 1 AS level, content FROM s
+    WHERE trim(content) <> '' AND lower(regexp_extract(k, '^\\$\\."?([^".\\[]+)', 1)) NOT IN ({_OWN})""")
+def json_strings(spark: SparkSession, d: str) -> DataFrame:
+    """Every string of the contents that are JSON, at any depth, with its path."""
+    rows = table(spark, d, _ENTRIES).where(F.try_parse_json("content").isNotNull() & F.col("content").rlike(r"^\s*[\[{]"))
+    return documents.sections(rows, "entry_id", "content")
+
+
 @query()
 def json_sections(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, _ENTRIES).where(F.col("content").rlike(r"^\s*[\[{]"))
